@@ -197,7 +197,7 @@ def _scripts(sides: pd.Series, evidence: pd.Series) -> pd.Series:
 
 
 def schema_changes(df: DataFrame, feed: str, file: str, donor: str, payload: str) -> DataFrame:
-    """Each change of a file against its feed's previous file: `feed`, `file`, `change`, `path`, `depth`.
+    """Each change of a file against its feed's previous file: `feed`, `file`, `change`, `path`.
 
     Changes come from the cheapest edit script between the two schema trees. A top-level field that is
     gone may be renamed to one that has come only when every record name (`donor`, a field of the object)
@@ -209,6 +209,9 @@ def schema_changes(df: DataFrame, feed: str, file: str, donor: str, payload: str
     fields that came or went, in joins keyed by (feed, file, record name), so that even a feed with a
     third of all rows is spread over its files and records; a task then holds the schemas of single files.
     """
+    names, feed_name, file_name = ("_feed", "_file", "_payload"), feed, file
+    df = df.select(*(F.col(c).alias(n) for c, n in zip((feed, file, payload), names)))  # no name of the input can clash
+    feed, file, payload = names
     base = df.where(F.col(feed).isNotNull() & F.col(file).isNotNull())
     files = base.select(feed, file).distinct()
     files = files.withColumn("_next", F.lead(file).over(W.partitionBy(feed).orderBy(file)))
@@ -238,7 +241,7 @@ def schema_changes(df: DataFrame, feed: str, file: str, donor: str, payload: str
     differs = ~F.col("old_types").eqNullSafe(F.col("new_types")) | ~F.col("old_schema").eqNullSafe(F.col("new_schema"))
     grouped = sides.where(differs).groupBy(feed, file).agg(F.collect_list(F.struct("field", "old_types", "new_types", "old_schema", "new_schema")).alias("_sides"))
     steps = grouped.join(evidence, [feed, file], "left").select(feed, file, F.explode(_scripts("_sides", "_pairs")).alias("_s"))
-    return steps.select(feed, file, F.col("_s.change").alias("change"), F.col("_s.field").alias("path"))
+    return steps.select(F.col(feed).alias(feed_name), F.col(file).alias(file_name), F.col("_s.change").alias("change"), F.col("_s.field").alias("path"))
 
 
 def alias_groups(renames: Iterable[tuple[str, str]], uses: dict[str, int]) -> dict[str, str]:

@@ -88,26 +88,26 @@ def version_history(updates: DataFrame, keys: Sequence[str], at: str, order: str
     for k in keys:
         known = known.where(F.col(k).isNotNull())
     known = known.select(*keys, F.col(at).cast("long").alias("_at"), F.struct(F.col(order).alias("o"), state.alias("s")).alias("_u"))
-    instants = known.groupBy(*keys, "_at").agg(F.max("_u").alias("_u")).select(*keys, "_at", F.col("_u.s").alias("_s")).withColumn("snapshot", F.floor(F.col("_at") / period).cast("long")).withColumn("leaf", leaf_of(*keys))
+    instants = known.groupBy(*keys, "_at").agg(F.max("_u").alias("_u")).select(*keys, "_at", F.col("_u.s").alias("_s")).withColumn("_snapshot", F.floor(F.col("_at") / period).cast("long")).withColumn("_leaf", leaf_of(*keys))
     instants = materialise(instants)
 
-    touched = instants.groupBy("snapshot", "leaf").agg(F.bit_xor(F.xxhash64(*keys, "_at", "_s")).alias("delta"))
-    running = W.partitionBy("leaf").orderBy("snapshot").rowsBetween(W.unboundedPreceding, W.currentRow)
-    leaves = touched.withColumn("new", F.bit_xor("delta").over(running)).withColumn("old", F.col("new").bitwiseXOR(F.col("delta")))
-    changed = differing_leaves(materialise(leaves.select("snapshot", "leaf", "old", "new")))
-    rows = instants.join(changed, ["snapshot", "leaf"], "left_semi").drop("leaf")
+    touched = instants.groupBy("_snapshot", "_leaf").agg(F.bit_xor(F.xxhash64(*keys, "_at", "_s")).alias("_delta"))
+    running = W.partitionBy("_leaf").orderBy("_snapshot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    leaves = touched.withColumn("_new", F.bit_xor("_delta").over(running)).withColumn("_old", F.col("_new").bitwiseXOR(F.col("_delta")))
+    changed = differing_leaves(materialise(leaves.select(*(F.col(f"_{c}").alias(c) for c in ("snapshot", "leaf", "old", "new"))))).select(F.col("snapshot").alias("_snapshot"), F.col("leaf").alias("_leaf"))
+    rows = instants.join(changed, ["_snapshot", "_leaf"], "left_semi").drop("_leaf")
 
-    inside = W.partitionBy(*keys, "snapshot").orderBy("_at")
-    ends = rows.groupBy(*keys, "snapshot").agg(F.max_by(F.struct("_s"), "_at").alias("_end"))
-    before = ends.withColumn("_prev", F.lag("_end").over(W.partitionBy(*keys).orderBy("snapshot"))).select(*keys, "snapshot", "_prev")
+    inside = W.partitionBy(*keys, "_snapshot").orderBy("_at")
+    ends = rows.groupBy(*keys, "_snapshot").agg(F.max_by(F.struct("_s"), "_at").alias("_end"))
+    before = ends.withColumn("_prev", F.lag("_end").over(W.partitionBy(*keys).orderBy("_snapshot"))).select(*keys, "_snapshot", "_prev")
     first = F.row_number().over(inside) == 1
     stepped = rows.withColumns({"_first": first, "_lag": F.lag(F.struct("_s")).over(inside)})
-    stepped = stepped.join(before, [*keys, "snapshot"], "left")
+    stepped = stepped.join(before, [*keys, "_snapshot"], "left")
     was = F.when(F.col("_first"), F.col("_prev._s")).otherwise(F.col("_lag._s"))
-    changes = stepped.where(~F.col("_s").eqNullSafe(was)).select(*keys, "snapshot", "_at", "_s")
+    changes = stepped.where(~F.col("_s").eqNullSafe(was)).select(*keys, "_snapshot", "_at", "_s")
 
-    begins = changes.groupBy(*keys, "snapshot").agg(F.min("_at").alias("_begin"))
-    after = begins.withColumn("_next", F.lead("_begin").over(W.partitionBy(*keys).orderBy("snapshot"))).select(*keys, "snapshot", "_next")
-    ended = changes.withColumn("_lead", F.lead("_at").over(inside)).join(after, [*keys, "snapshot"], "left")
+    begins = changes.groupBy(*keys, "_snapshot").agg(F.min("_at").alias("_begin"))
+    after = begins.withColumn("_next", F.lead("_begin").over(W.partitionBy(*keys).orderBy("_snapshot"))).select(*keys, "_snapshot", "_next")
+    ended = changes.withColumn("_lead", F.lead("_at").over(inside)).join(after, [*keys, "_snapshot"], "left")
     versions = ended.where(F.col("_s").isNotNull())
     return versions.select(*keys, *(F.col(f"_s.{a}").alias(a) for a in attributes), F.col("_at").alias("valid_from"), F.coalesce("_lead", "_next").alias("valid_to"))

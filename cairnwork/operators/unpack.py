@@ -18,7 +18,7 @@ JOINING = ("and", "und", "et", "y", "or", "oder")
 #: Characters of which values are made. In paths a slash is one of them.
 _LETTER = r"\p{L}\p{M}\p{N}_.@#~%$=:\-"
 #: Masks in a skeleton. Every other character of a skeleton stands for itself.
-ORDINARY, NOWORD, JOINWORD, DASH = "a", "\x01", "\x02", "\x03"
+ORDINARY, NOWORD, JOINWORD, DASH, SLASH = "a", "\x01", "\x02", "\x03", "\x04"
 _QUOTES, _OPEN = "\"'`", {"[": "]", "{": "}", "(": ")"}
 _MARKS = DASH + "*•–—·‣▪"
 #: How a value's text is turned into the value: as it is, JSON escapes, doubled quotes, the same two in single quotes.
@@ -32,7 +32,7 @@ def _patterns(path: bool) -> tuple[str, list[tuple[str, str]]]:
     words = alone("(?i:" + "|".join(map(re.escape, NOTHING)) + ")")
     joins = alone("(?i:" + "|".join(JOINING) + ")")
     dash = alone("-+")
-    masks = [(words, NOWORD), (joins, JOINWORD), (dash, DASH), (f"{letter}+", ORDINARY)]
+    masks = [(words, NOWORD), (joins, JOINWORD), (dash, DASH), *([(alone("/"), SLASH)] if path else []), (f"{letter}+", ORDINARY)]
     return f"(?s){words}|{joins}|{dash}|{letter}+|.", masks
 
 
@@ -99,7 +99,7 @@ def resolve(skeleton: str, path: bool) -> list[tuple[int, int, int]]:
             i += 1
             continue
         lone = (i + 1 >= n or s[i + 1].isspace()) and (i == 0 or s[i - 1].isspace() or s[i - 1] in ",;|")
-        if (c in "/+&" and (lone or not path)) or (c == JOINWORD and lone) or (c in _MARKS and lone):
+        if (c in "/+&" and (lone or not path)) or (c in JOINWORD + SLASH and lone) or (c in _MARKS and lone):
             i += 1
             continue
         if c in _QUOTES:

@@ -1,6 +1,6 @@
 """All queries of the core. Importing the modules registers them."""
 
-from cairnwork.plans import analytics, graph_queries, lens, problems, relational, reports, sqlapi  # noqa: F401
+from cairnwork.plans import analytics, graph_queries, incremental_queries, lens, problems, relational, reports, sqlapi  # noqa: F401
 from cairnwork.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
