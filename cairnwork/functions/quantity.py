@@ -126,8 +126,8 @@ def rational(num: Column, den: Column) -> Column:
     step = F.aggregate(F.sequence(F.lit(1), F.lit(190)), pair, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] != 0, s["b"])).cast(big).alias("b"))))
     g = F.when(step["a"] == 0, F.lit(1).cast(big)).otherwise(step["a"])
     sign = F.when(d < 0, F.lit(-1)).otherwise(F.lit(1))
-    div = lambda x: F.expr("1") if x is None else F.try_divide(x, g).try_cast(big)
-    return F.when(d != 0, F.struct((div(n) * sign).try_cast(big).alias("num"), F.abs(div(d)).try_cast(big).alias("den")))
+    div = lambda x: F.try_divide(x, g).try_cast(big)
+    return F.when((d != 0) & n.isNotNull(), F.struct((div(n) * sign).try_cast(big).alias("num"), F.abs(div(d)).try_cast(big).alias("den")))
 
 
 def rational_add(a: Column, b: Column) -> Column:
