@@ -176,7 +176,7 @@ RULES = (
   union all select 'money-few-donors', cap_key, case when donor_count is null then 'U' when donor_count <= 40 then 'S' else 'V' end from cap where side_effect_class = 'money'
   union all select 'blocked-says-why', cap_key, case when blocker is null then 'U' when blocker <> '' then 'S' else 'V' end from cap where side_effect_class = 'external_write' and status = 'blocked'
   union all select 'none-is-verified', cap_key, case when status is null then 'U' when status = 'verified' then 'S' else 'V' end from cap where side_effect_class = 'none' and domain = 'ledger'
-  union all select 'core-built', 'vantor-core', case when exists (select 1 from cap where target_crate = 'vantor-core') then 'S' else 'V' end union all select 'attic-built', 'vantor-attic', 'V' union all select 'unreadable', null, 'U'),
+  union all select 'core-built', 'vantor-core', case when exists (select 1 from cap where target_crate = 'vantor-core') then 'S' else 'V' end union all select 'attic-built', 'vantor-attic', 'V' union all select 'unreadable', null, 'U' union all select r, null, 'S' from (values ('money-has-crate'), ('money-few-donors'), ('blocked-says-why'), ('none-is-verified')) t(r)),
   k as (select *, row_number() over (partition by r, v order by cap_key) rn from f)
   select r as rule, case when bool_or(v = 'V') then 'VIOLATED' when bool_or(v = 'U') then 'UNKNOWN' else 'SATISFIED' end as verdict, count(cap_key) as n_facts, count(*) filter (v = 'V') as n_violations, count(*) filter (v = 'U') as n_unknown, coalesce(string_agg(case when v = 'V' and rn <= 12 then cap_key end, ',' order by rn), '') as counterexamples from k group by 1""")
 def kleene_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
