@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnwork.session import materialise
+from cairnwork.session import broadcast_if_small, materialise
 
 #: Costs of the edit script. A rename is cheaper than a removal with an addition, a move dearer than a rename.
 RENAME, MOVE, RETYPE, NODE = 0.5, 0.75, 0.25, 1.0
@@ -229,7 +229,7 @@ def schema_changes(df: DataFrame, feed: str, file: str, donor: str, payload: str
     both_ways = gone.select(feed, file).distinct().join(come.select(feed, file).distinct(), [feed, file])
     gone, come = (x.join(both_ways, [feed, file], "left_semi") for x in (gone, come))
     back = gone.join(files.select(feed, F.col(file).alias("_prev"), F.col("_next").alias(file)), [feed, file]).select(feed, F.col("_prev").alias(file), "field", F.lit(True).alias("_gone"))
-    wanted = back.unionByName(come.withColumn("_gone", F.lit(False)))
+    wanted = broadcast_if_small(materialise(back.unionByName(come.withColumn("_gone", F.lit(False)))))
     name = F.try_variant_get(F.try_parse_json(F.col(payload)), f"$.{donor}", "string")
     held = fields_of(base.select(feed, file, payload).withColumn("_name", name).where("_name is not null"), payload)
     held = held.join(wanted, [feed, file, "field"]).groupBy(feed, file, "_name", "field", "_gone").agg(F.min(F.to_json("value")).alias("_lo"), F.max(F.to_json("value")).alias("_hi"))
