@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnwork.session import materialise
+from cairnwork.session import broadcast_if_small, materialise
 
 #: A snapshot's keys fall into 16 ** LEVELS leaf buckets; every inner node has 16 children.
 LEVELS = 3
@@ -94,7 +94,7 @@ def version_history(updates: DataFrame, keys: Sequence[str], at: str, order: str
     touched = instants.groupBy("_snapshot", "_leaf").agg(F.bit_xor(F.xxhash64(*keys, "_at", "_s")).alias("_delta"))
     running = W.partitionBy("_leaf").orderBy("_snapshot").rowsBetween(W.unboundedPreceding, W.currentRow)
     leaves = touched.withColumn("_new", F.bit_xor("_delta").over(running)).withColumn("_old", F.col("_new").bitwiseXOR(F.col("_delta")))
-    changed = differing_leaves(materialise(leaves.select(*(F.col(f"_{c}").alias(c) for c in ("snapshot", "leaf", "old", "new"))))).select(F.col("snapshot").alias("_snapshot"), F.col("leaf").alias("_leaf"))
+    changed = broadcast_if_small(materialise(differing_leaves(materialise(leaves.select(*(F.col(f"_{c}").alias(c) for c in ("snapshot", "leaf", "old", "new"))))).select(F.col("snapshot").alias("_snapshot"), F.col("leaf").alias("_leaf"))))
     rows = instants.join(changed, ["_snapshot", "_leaf"], "left_semi").drop("_leaf")
 
     inside = W.partitionBy(*keys, "_snapshot").orderBy("_at")
