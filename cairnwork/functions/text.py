@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,11 +36,17 @@ _ISO = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[Tt\s]\s*(\d{1,2}:\d{2}(?::\d{2}
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})([Zz]|[+-]\d{2}:?\d{2})?$"
 
 
-def _zone(z: Column) -> Column:
-    """Offset as +hh:mm; no zone is UTC."""
-    z = F.upper(z)
-    digits = F.regexp_replace(z, ":", "")
-    return F.when(z.isin("", "Z", "UTC", "GMT"), F.lit("+00:00")).otherwise(F.concat(F.substring(digits, 1, 3), F.lit(":"), F.when(F.length(digits) > 3, F.substring(digits, 4, 2)).otherwise(F.lit("00"))))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once for each row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _moment(date: Column, rest: Column) -> Column:
+    """The instant of a date yyyy-[m]m-[d]d and `clock|zone`; a missing clock is midnight, a missing zone UTC."""
+    clock = F.replace(F.split_part(rest, F.lit("|"), F.lit(1)), F.lit(","), F.lit("."))
+    digits = F.upper(F.replace(F.split_part(rest, F.lit("|"), F.lit(2)), F.lit(":"), F.lit("")))
+    zone = F.when(digits.isin("", "Z", "UTC", "GMT"), F.lit("Z")).otherwise(F.concat(F.substring(digits, 1, 3), F.lit(":"), F.when(F.length(digits) > 3, F.substring(digits, 4, 2)).otherwise(F.lit("00"))))
+    return F.unix_micros(F.concat(date, F.lit("T"), F.when(clock == "", F.lit("00:00:00")).otherwise(clock), zone).try_cast("timestamp"))
 
 
 def instant_us(text: Column) -> Column:
@@ -49,15 +56,20 @@ def instant_us(text: Column) -> Column:
     form; RFC 1123 dates; epoch numbers, whose length tells seconds, milli-, micro- or nanoseconds. Text
     without a zone is UTC; a date alone is its midnight. Impossible dates are null.
     """
-    t = F.btrim(text, F.lit(ASCII_SPACE + " 　"))
-    ex = lambda pattern, i: F.regexp_extract(t, pattern, i)
-    clock = lambda c: F.when(c == "", F.lit("00:00:00")).when(F.length(F.regexp_replace(c, "[^:]", "")) == 1, F.concat(c, F.lit(":00"))).otherwise(F.regexp_replace(c, ",", "."))
-    iso = F.concat(ex(_ISO, 1), F.lit("-"), F.lpad(ex(_ISO, 2), 2, "0"), F.lit("-"), F.lpad(ex(_ISO, 3), 2, "0"), F.lit("T"), clock(ex(_ISO, 4)), _zone(ex(_ISO, 5)))
-    month = (F.instr(F.lit(_MONTHS), F.lower(ex(_RFC, 2))) + 2) / 3
-    rfc = F.when(month == F.floor(month), F.concat(ex(_RFC, 3), F.lit("-"), F.lpad(month.cast("int").cast("string"), 2, "0"), F.lit("-"), F.lpad(ex(_RFC, 1), 2, "0"), F.lit("T"), clock(ex(_RFC, 4)), _zone(ex(_RFC, 5))))
-    compact = F.concat(ex(_COMPACT, 1), F.lit("-"), ex(_COMPACT, 2), F.lit("-"), ex(_COMPACT, 3), F.lit("T"), ex(_COMPACT, 4), F.lit(":"), ex(_COMPACT, 5), F.lit(":"), ex(_COMPACT, 6), _zone(ex(_COMPACT, 7)))
-    number = t.try_cast("decimal(30,9)")
-    scale = F.when(F.abs(number) < 100_000_000_000, F.lit(1_000_000)).when(F.abs(number) < 100_000_000_000_000, F.lit(1_000)).when(F.abs(number) < 100_000_000_000_000_000, F.lit(1))
-    epoch = F.when(scale.isNull(), (number / 1000).try_cast("long")).otherwise((number * scale).try_cast("long"))
-    written = F.when(t.rlike(_ISO), iso).when(t.rlike(_RFC), rfc).when(t.rlike(_COMPACT), compact)
-    return F.when(t.rlike(r"^-?\d{9,19}(?:\.\d+)?$"), epoch).otherwise(F.unix_micros(written.try_cast("timestamp")))
+    def read(t: Column) -> Column:
+        # One pass of a pattern gives all its parts, apart by bars; what does not match has no bar.
+        iso = _once(F.regexp_replace(t, _ISO, "$1-$2-$3|$4|$5"), lambda c: F.when(c.contains("|"), _moment(F.split_part(c, F.lit("|"), F.lit(1)), F.substring(c, F.instr(c, F.lit("|")) + 1, F.length(c)))))
+        compact = _once(F.regexp_replace(t, _COMPACT, "$1-$2-$3|$4:$5:$6|$7"), lambda c: F.when(c.contains("|"), _moment(F.substring(c, 1, 10), F.substring(c, F.lit(12), F.length(c)))))
+
+        def named(c: Column) -> Column:
+            month = (F.instr(F.lit(_MONTHS), F.lower(F.split_part(c, F.lit("|"), F.lit(2)))) + 2) / 3
+            date = F.concat(F.split_part(c, F.lit("|"), F.lit(3)), F.lit("-"), month.cast("int").cast("string"), F.lit("-"), F.split_part(c, F.lit("|"), F.lit(1)))
+            return F.when(c.contains("|") & (month == F.floor(month)), _moment(date, F.concat_ws("|", F.split_part(c, F.lit("|"), F.lit(4)), F.split_part(c, F.lit("|"), F.lit(5)))))
+
+        rfc = _once(F.regexp_replace(t, _RFC, "$1|$2|$3|$4|$5"), named)
+        number = t.try_cast("decimal(30,9)")
+        scale = F.when(F.abs(number) < 100_000_000_000, F.lit(1_000_000)).when(F.abs(number) < 100_000_000_000_000, F.lit(1_000)).when(F.abs(number) < 100_000_000_000_000_000, F.lit(1))
+        epoch = F.when(scale.isNull(), (number / 1000).try_cast("long")).otherwise((number * scale).try_cast("long"))
+        return F.when(t.rlike(r"^\d{4}[-/.]"), iso).when(t.rlike(r"^-?\d{9,19}(?:\.\d+)?$"), epoch).when(t.rlike(r"^\d{8}[Tt]"), compact).otherwise(rfc)
+
+    return _once(F.btrim(text, F.lit(ASCII_SPACE + "\u00a0\u3000")), read)
