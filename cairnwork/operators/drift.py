@@ -233,6 +233,7 @@ def schema_changes(df: DataFrame, feed: str, file: str, donor: str, payload: str
     name = F.try_variant_get(F.try_parse_json(F.col(payload)), f"$.{donor}", "string")
     held = fields_of(base.select(feed, file, payload).withColumn("_name", name).where("_name is not null"), payload)
     held = held.join(wanted, [feed, file, "field"]).groupBy(feed, file, "_name", "field", "_gone").agg(F.min(F.to_json("value")).alias("_lo"), F.max(F.to_json("value")).alias("_hi"))
+    held = materialise(held)  # the values of fields that came or went alone
     left = held.where("_gone").join(files, [feed, file]).select(feed, F.col("_next").alias(file), "_name", F.col("field").alias("old"), F.struct("_lo", "_hi").alias("_a"))
     right = held.where("not _gone").select(feed, file, "_name", F.col("field").alias("new"), F.struct("_lo", "_hi").alias("_b"))
     pairs = left.join(right, [feed, file, "_name"]).groupBy(feed, file, "old", "new").agg(F.count("*").alias("n"), F.count_if(F.col("_a") == F.col("_b")).alias("same")).where("n = same")
