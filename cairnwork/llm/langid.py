@@ -8,6 +8,7 @@ what fits none well enough is rejected.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +69,8 @@ def label_code(label: str | None) -> str | None:
 
 
 def fold(line: str) -> str:
-    """A line as the models see it: no list marks, times or numbers, white space folded, lower case."""
-    body = _HEAD.sub("", _GAPS.sub(" ", _TIME.sub(" ", line)))
+    """A line as the models see it: composed, no list marks, times or numbers, white space folded, lower case."""
+    body = _HEAD.sub("", _GAPS.sub(" ", _TIME.sub(" ", unicodedata.normalize("NFC", line))))
     return _DIGITS.sub("0", body.lower()).strip()
 
 
@@ -307,17 +308,22 @@ def classify(model: LanguageModel, texts: list[str | None]) -> list[tuple[str |
             amount[best[i]] += letters[i]
         whole = int(amount.argmax())
         lines: dict[int, np.ndarray] = {}
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for i in rows:
-            own = best[i] if score[i, best[i]] > score[i, whole] + PRIOR else whole
-            lines.setdefault(int(line[i]), np.zeros(len(names)))[own] += letters[i]
-            sums[int(line[i])] = sums.get(int(line[i]), 0) + score[i]
-        amount = np.sum(list(lines.values()), axis=0)
-        whole = int(amount.argmax())
-        confident = lambda s, k: float(1 / np.exp(np.clip(TEMPER * (s - s[k]), -50, 50)).sum())
-        per_line = [(n, names[k := int(a.argmax())], round(confident(sums[n], k), 4)) for n, a in sorted(lines.items())]
-        share = amount[whole] / amount.sum()
-        out[d] = (names[whole], round(float(share * confident(np.sum(list(sums.values()), axis=0) if share == 1 else np.eye(len(names))[whole] * 1e3, whole)), 4), per_line)
+            n, own = int(line[i]), int(best[i] if score[i, best[i]] > score[i, whole] + PRIOR else whole)
+            lines.setdefault(n, np.zeros(len(names)))[own] += letters[i]
+            for at in (n, 0):  # line 0 is the document
+                sums[at, own] = sums.get((at, own), 0) + score[i]
+        lines[0] = np.sum(list(lines.values()), axis=0)
+
+        def judged(n: int) -> tuple[str, float]:
+            """The language of most letters; its share times the certainty of the sentences that are in it."""
+            k = int(lines[n].argmax())
+            s = sums[n, k]
+            sure = 1 / np.exp(np.clip(TEMPER * (s - s[k]), -50, 50)).sum()
+            return names[k], round(float(lines[n][k] / lines[n].sum() * sure), 4)
+
+        out[d] = (*judged(0), [(n, *judged(n)) for n in sorted(lines) if n])
     return out
 
 
