@@ -19,12 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Make checkpoint() usable. The cluster names the shared folder in spark.checkpoint.dir, and that
-    folder is used as it is; only where the setting is absent (tests, a single machine) one is made."""
+    folder is used as it is; only where the setting is absent one is made: in a temporary folder of a single
+    machine, on a cluster beside its tables."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cairnwork-"))
+    if not shared:
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        shared = tempfile.mkdtemp(prefix="cairnwork-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    sc.setCheckpointDir(shared)
 
 
 def materialise(df: DataFrame) -> DataFrame:
