@@ -40,6 +40,7 @@ def support_levels(artifacts: DataFrame, records: DataFrame, obligations: DataFr
     best = obligations.join(of, "path").groupBy("subject", "kind", "dimension").agg(R.strongest(R.COVERAGE, F.col("status")).alias("s")).groupBy("subject", "kind").agg(F.count_if(F.col("s").isin("OBSERVED", "DERIVED")).alias("n_evaluated"))
     fun = functions.join(derived.select("id").distinct().withColumn("_d", F.lit(True)), "id", "left").join(of, "path").groupBy("subject", "kind").agg(F.count("*").alias("n_functions"), F.count_if("_d").alias("n_derived"))
     all_ = reduce(lambda a, b: a.join(b, ["subject", "kind"], "left"), (rec, best, fun), files).na.fill(0)
+    # The names of the levels.
     level, missing = ladder((("L1_IDENTIFIED", F.col("kind") == "language"), ("L2_SYNTAX", F.col("n_parsed") > 0), ("L3_TYPED_RECORDS", F.col("n_records") > 0), ("L4_OBLIGATIONS_EVALUATED", F.col("n_evaluated") > 0), ("L5_COMPOSED", F.col("n_functions") > 0), ("L6_AGENT_USABLE", F.col("n_derived") > 0)), "L0_DISCOVERED")
     return all_.withColumns({"level": level, "missing": missing})
 

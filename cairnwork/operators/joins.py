@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnwork.session import materialise
+
 
 def path_prefixes(path: Column) -> Column:
     """The path and all directories above it: a/b/c gives a, a/b and a/b/c. Trailing slashes do not count."""
@@ -128,7 +130,7 @@ def first_matching_rule(rows: DataFrame, keys: Sequence[tuple[str, Column]], rul
     `keys` names what a row offers (kind, value); `rules` has kind, value, rank, target. The lowest rank wins,
     then the least target. Rows without a match keep nulls; rows are told apart by all their columns.
     """
-    tagged = rows.withColumn("_row", F.monotonically_increasing_id())
+    tagged = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))  # read twice, numbered once
     offers = tagged.select("_row", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in keys))).alias("_o")).select("_row", "_o.kind", "_o.value")
     best = offers.join(rules, ["kind", "value"]).groupBy("_row").agg(F.min(F.struct("rank", "target", "kind")).alias("_m"))
     return tagged.join(best, "_row", "left").select(*rows.columns, F.col("_m.target").alias("target"), F.col("_m.kind").alias("via"))
@@ -147,7 +149,7 @@ def precedence_union(first: DataFrame, second: DataFrame, key: str, id_: str) ->
     key. Numbers are given by range-partitioned parts, so no task holds all rows."""
     added = second.join(first.select(key), key, "left_anti").drop(id_)
     top = first.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
-    parts = added.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    parts = materialise(added.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()))
     parts = parts.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(key)))
     before = parts.groupBy("_part").count().withColumn("_off", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_off")
     numbered = parts.join(F.broadcast(before), "_part").crossJoin(F.broadcast(top)).withColumn(id_, F.col("_top") + F.col("_off") + F.col("_n"))

@@ -58,7 +58,7 @@ _SYN_SQL = "case w " + " ".join(f"when '{k}' then '{v}'" for k, v in _SYN.items(
 @query(f"with {S.SRC_SQL} select list_aggregate(list_sort(list_transform(list_filter(regexp_split_to_array(trim(regexp_replace(lower(canonical_name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: {_SYN_SQL})), 'string_agg', ' ') as cluster, min(id) as head, count(*) as n_members, max(coalesce(moves_money, 0)) as moves_money, min(canonical_name) as canonical_name from src where canonical_name is not null group by 1")
 def synonym_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources whose names mean the same under a table of verbs."""
-    return N.duplicate_clusters(S.sources(spark, sf_dir), "id", N.synonym_key(F.col("canonical_name"), _SYN), ["moves_money"], "canonical_name")
+    return N.duplicate_clusters(S.sources(spark, sf_dir, "canonical_name", "moves_money"), "id", N.synonym_key(F.col("canonical_name"), _SYN), ["moves_money"], "canonical_name")
 
 
 _CLASSES = [("(?i)invoice|price|tax|budget|payment", "finance"), ("(?i)ticket|survey|mail", "contact"), ("(?i)api|web|cache|index", "platform")]
@@ -67,7 +67,7 @@ _CLASSES = [("(?i)invoice|price|tax|budget|payment", "finance"), ("(?i)ticket|su
 @query(f"with {S.SRC_SQL} select case when regexp_matches(canonical_name, '(?i)invoice|price|tax|budget|payment') then 'finance' when regexp_matches(canonical_name, '(?i)ticket|survey|mail') then 'contact' when regexp_matches(canonical_name, '(?i)api|web|cache|index') then 'platform' else 'other' end as class, count(*) as n_rows from src group by 1")
 def domain_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first pattern that matches gives the class."""
-    return S.sources(spark, sf_dir).groupBy(N.classify(F.col("canonical_name"), _CLASSES, "other").alias("class")).agg(F.count("*").alias("n_rows"))
+    return S.sources(spark, sf_dir, "canonical_name").groupBy(N.classify(F.col("canonical_name"), _CLASSES, "other").alias("class")).agg(F.count("*").alias("n_rows"))
 
 
 # ---- snapshots
@@ -147,7 +147,7 @@ def intent_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed status changes against what was meant: blocked capabilities were to be strengthened, and none
     may be dropped."""
     seen = status_delta(spark, sf_dir)
-    blocked = S.capabilities(spark, sf_dir).where("status = 'blocked'").select(F.col("cap_key").alias("item"), F.lit("strengthened").alias("change"), F.lit(False).alias("forbidden"))
+    blocked = S.capabilities(spark, sf_dir, "status").where("status = 'blocked'").select(F.col("cap_key").alias("item"), F.lit("strengthened").alias("change"), F.lit(False).alias("forbidden"))
     ruled = seen.where("change = 'dropped'").select(F.col("cap_key").alias("item"), "change", F.lit(True).alias("forbidden"))
     return D.check_intent(seen.select(F.col("cap_key").alias("item"), "change"), blocked.unionByName(ruled))
 
@@ -155,7 +155,7 @@ def intent_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- constraints
 
 def capability_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cap = S.capabilities(spark, sf_dir)
+    cap = S.capabilities(spark, sf_dir, "domain", "side_effect_class", "donor_count", "target_crate", "status", "blocker")
     attributes = F.map_filter(F.create_map(*(x for c in ("status", "target_crate", "blocker", "domain", "donor_count") for x in (F.lit(c), F.col(c).cast("string")))), lambda _, v: v.isNotNull())
     return cap.select(F.col("cap_key").alias("name"), F.col("side_effect_class").alias("kind"), attributes.alias("attributes"))
 
@@ -181,7 +181,7 @@ RULES = (
   select r as rule, case when bool_or(v = 'V') then 'VIOLATED' when bool_or(v = 'U') then 'UNKNOWN' else 'SATISFIED' end as verdict, count(cap_key) as n_facts, count(*) filter (v = 'V') as n_violations, count(*) filter (v = 'U') as n_unknown, coalesce(string_agg(case when v = 'V' and rn <= 12 then cap_key end, ',' order by rn), '') as counterexamples from k group by 1""")
 def kleene_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules read from text, over capabilities, with their verdicts and counterexamples."""
-    built = S.capabilities(spark, sf_dir).where("target_crate is not null").select(F.col("target_crate").alias("target"))
+    built = S.capabilities(spark, sf_dir, "target_crate").where("target_crate is not null").select(F.col("target_crate").alias("target"))
     return C.evaluate([C.parse_rule(n, t) for n, t in RULES], capability_nodes(spark, sf_dir), materialized=built)
 
 
@@ -203,13 +203,13 @@ def skyline_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.OPP_SQL}, o as (select opp_id, category, impact, reach, effort from opp where impact is not null and reach is not null and effort is not null) select category, opp_id from o a where not exists (select 1 from o b where b.category = a.category and b.impact >= a.impact and b.reach >= a.reach and b.effort <= a.effort and (b.impact > a.impact or b.reach > a.reach or b.effort < a.effort))")
 def pareto_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opportunities undominated in impact, reach and effort."""
-    return Y.pareto_front(S.opportunities(spark, sf_dir), ["category"], [("impact", True), ("reach", True), ("effort", False)]).select("category", "opp_id")
+    return Y.pareto_front(S.opportunities(spark, sf_dir, "category", "impact", "reach", "effort"), ["category"], [("impact", True), ("reach", True), ("effort", False)]).select("category", "opp_id")
 
 
 @query(f"with {S.OPP_SQL}, o as (select opp_id, category, impact, leverage from opp where impact is not null and leverage is not null and status in ('validated', 'implemented')) select category, opp_id from o a where not exists (select 1 from o b where b.category = a.category and b.impact >= a.impact and b.leverage >= a.leverage and (b.impact > a.impact or b.leverage > a.leverage))")
 def verified_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only verified and measured candidates compete."""
-    rows = S.opportunities(spark, sf_dir).withColumn("verdict", F.when(F.col("status").isin("validated", "implemented"), "SATISFIED").otherwise("UNKNOWN"))
+    rows = S.opportunities(spark, sf_dir, "category", "impact", "leverage", "status").withColumn("verdict", F.when(F.col("status").isin("validated", "implemented"), "SATISFIED").otherwise("UNKNOWN"))
     return Y.verified_front(rows, ["category"], [("impact", True), ("leverage", True)], "verdict").select("category", "opp_id")
 
 

@@ -23,7 +23,7 @@ _LANG = f"case {_X} when 'rs' then 'rust' when 'ts' then 'typescript' when 'tsx'
   select subject, kind, n_artifacts, n_parsed, n_records, case when kind <> 'language' then 'L0_DISCOVERED' when n_parsed = 0 then 'L1_IDENTIFIED' when n_records = 0 then 'L2_SYNTAX' when n_ok = 0 then 'L3_TYPED_RECORDS' else 'L4_OBLIGATIONS_EVALUATED' end as level from g""")
 def status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each language is supported: files, mapped files as records, reviews as obligations."""
-    fil = materialise(S.files(spark, sf_dir).where("path is not null").select("file_id", "path", "classification", "read_status", language(F.col("path")).alias("language"), artifact_class(F.col("path")).alias("class")))
+    fil = materialise(S.files(spark, sf_dir, "path", "kind", "classification", "read_status").where("path is not null").select("file_id", "path", "classification", "read_status", language(F.col("path")).alias("language"), artifact_class(F.col("path")).alias("class")))
     art = fil.select(F.col("file_id").alias("path"), "language", "class", (F.col("classification") == "mapped").alias("parsed"))
     rec = fil.where("classification = 'mapped'").select(F.col("file_id").alias("path"))
     obl = fil.select(F.col("file_id").alias("path"), F.lit("READ").alias("dimension"), F.when(F.col("read_status") == "reviewed", "OBSERVED").otherwise("UNKNOWN").alias("status"))
@@ -36,7 +36,7 @@ def status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def excessive_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capabilities that claim more than their last override says."""
     level = lambda c: F.when(F.col(c) == "verified", "L3").when(F.col(c) == "implemented_unverified", "L2").otherwise("L1").alias("level")
-    return E.excessive_claims(S.capabilities(spark, sf_dir).select("cap_key", level("status")), S.overrides(spark, sf_dir).where("o_status is not null").select("cap_key", level("o_status")), "cap_key", "level")
+    return E.excessive_claims(S.capabilities(spark, sf_dir, "status").select("cap_key", level("status")), S.overrides(spark, sf_dir).where("o_status is not null").select("cap_key", level("o_status")), "cap_key", "level")
 
 
 @query("with k as (select record_no, payload, case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload::json end p from campaign_record), f as (select record_no, unnest(json_keys(p)) field, p from k where p is not null), t as (select record_no, field, json_type(json_extract(p, '$.\"' || field || '\"')) t from f), g as (select record_no, field, case t when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end t from t where t <> 'NULL'), w as (select record_no, 'not_an_object' v from k where p is null union all select record_no, case when field not in ('donor', 'schema', 'ordinal', 'decision', 'reviewed') then 'unknown_field' when t <> case field when 'donor' then 'string' when 'schema' then 'string' when 'ordinal' then 'number' when 'decision' then 'object' else 'boolean' end then 'wrong_type' end from g union all select k.record_no, 'missing' from k, (values ('donor'), ('schema')) r(f) where p is not null and not exists (select 1 from g where g.record_no = k.record_no and g.field = r.f)) select v as violation, count(*) as n_rows from w where v is not null group by 1")
@@ -54,14 +54,14 @@ _TOK = "list_filter(list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N
   select cap_key, module, score, case when n >= 2 then 'HIGH' when n = 1 then 'MEDIUM' else 'LOW' end as confidence from x qualify row_number() over (partition by cap_key order by score desc, module) = 1""")
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The module that fits each capability best by words."""
-    cap = S.capabilities(spark, sf_dir)
-    return E.best_candidates(cap, "cap_key", F.col("cap_key"), F.col("canonical_name"), S.sources(spark, sf_dir), "module")
+    cap = S.capabilities(spark, sf_dir, "canonical_name")
+    return E.best_candidates(cap, "cap_key", F.col("cap_key"), F.col("canonical_name"), S.sources(spark, sf_dir, "module", "canonical_name"), "module")
 
 
 @query(f"with {S.FILE_SQL}, u as (select distinct split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as r from fil where path is not null) select r as unit, count(distinct path) as n_files from fil join u on fil.path = u.r or starts_with(fil.path, u.r || '/') where read_status = 'unread_pending' group by 1")
 def affected_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories that hold unread files."""
-    fil = S.files(spark, sf_dir).where("path is not null")
+    fil = S.files(spark, sf_dir, "path", "read_status").where("path is not null")
     units = fil.select(F.concat_ws("/", F.get(F.split("path", "/"), F.lit(0)), F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit(""))).alias("unit")).distinct()
     return E.affected_units(fil.where("read_status = 'unread_pending'"), "path", units.withColumn("root", F.col("unit")), "root", "unit")
 
@@ -77,35 +77,35 @@ def dependency_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {S.FILE_SQL} select donor, count(*) as n_total, count(*) filter (read_status = 'reviewed') as n_done, round(count(*) filter (read_status = 'reviewed') * 100.0 / count(*), 1) as percent, case when count(*) filter (read_status = 'reviewed') = count(*) then 'DONE' when count(*) filter (read_status = 'reviewed') = 0 then 'NOT_STARTED' else 'IN_PROGRESS' end as state from fil group by 1")
 def burn_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.burn_down(S.files(spark, sf_dir), "donor", F.col("read_status") == "reviewed")
+    return E.burn_down(S.files(spark, sf_dir, "donor", "read_status"), "donor", F.col("read_status") == "reviewed")
 
 
 @query(f"with {S.OPP_SQL}, a as (select date_diff('day', created_at::date, date '2026-01-01') d from opp) select case when d is null or d < 0 then 'INVALID' when d <= 90 then 'FRESH' when d <= 365 then 'AGING' else 'STALE' end as freshness, count(*) as n_rows from a group by 1")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.freshness(S.opportunities(spark, sf_dir), "created_at", F.lit("2026-01-01").cast("date"), 90, 365).groupBy("freshness").agg(F.count("*").alias("n_rows"))
+    return E.freshness(S.opportunities(spark, sf_dir, "created_at"), "created_at", F.lit("2026-01-01").cast("date"), 90, 365).groupBy("freshness").agg(F.count("*").alias("n_rows"))
 
 
 @query(f"with {S.ARCH}, {S.SRC_SQL} select 'no owner crate' as gap, count(*) as n from anode where crate is null union all select 'edge without evidence', count(*) from aedge where evidence_ref is null union all select 'source without crate', count(*) from src where target_crate is null")
 def understanding_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = S.architecture(spark, sf_dir)
-    return E.understanding_gaps([("no owner crate", nodes.where("crate is null")), ("edge without evidence", edges.where("evidence_ref is null")), ("source without crate", S.sources(spark, sf_dir).where("target_crate is null"))])
+    return E.understanding_gaps([("no owner crate", nodes.where("crate is null")), ("edge without evidence", edges.where("evidence_ref is null")), ("source without crate", S.sources(spark, sf_dir, "target_crate").where("target_crate is null"))])
 
 
 @query(f"with {S.CAP_SQL}, {S.SRC_SQL}, m as (select canonical_id, count(distinct target_crate) n, min(target_crate) f from src group by 1) select c.cap_key, case when coalesce(m.n, 0) = 0 then 'UNSUPPORTED' when m.n > 1 then 'AMBIGUOUS' when m.f is not distinct from c.target_crate then 'AGREE' else 'DISAGREE' end as verdict from cap c left join m on m.canonical_id = c.id")
 def crate_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crate of a capability against those of its sources."""
-    found = S.sources(spark, sf_dir).where("canonical_id is not null").select(F.col("canonical_id").alias("id"), F.col("target_crate").alias("found"))
-    cap = S.capabilities(spark, sf_dir).select("id", "cap_key", "target_crate")
+    found = S.sources(spark, sf_dir, "canonical_id", "target_crate").where("canonical_id is not null").select(F.col("canonical_id").alias("id"), F.col("target_crate").alias("found"))
+    cap = S.capabilities(spark, sf_dir, "id", "target_crate").select("id", "cap_key", "target_crate")
     return cap.join(E.agreement(cap, "id", found, "target_crate", "found"), "id").select("cap_key", "verdict")
 
 
 @query(f"with {S.CAP_SQL}, {S.LINK_SQL}, {S.SRC_SQL} select cap_key, array_to_string(list_sort(list_filter([case when not (coalesce(status, '') in ('verified', 'implemented_unverified')) then 'built' end, case when id not in (select canonical_id from lnk where canonical_id is not null) then 'linked' end, case when id not in (select canonical_id from src where canonical_id is not null) then 'sourced' end], lambda x: x is not null)), ',') as blockers, (coalesce(status, '') in ('verified', 'implemented_unverified') and id in (select canonical_id from lnk where canonical_id is not null) and id in (select canonical_id from src where canonical_id is not null)) as passes from cap")
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capabilities against three reports; a report without the capability blocks it."""
-    cap = S.capabilities(spark, sf_dir)
+    cap = S.capabilities(spark, sf_dir, "id", "status")
     ids = cap.select("id")
     yes = lambda df: df.where("id is not null").distinct().join(ids, "id", "left_semi").withColumn("ok", F.lit(True))
-    reports = [("built", cap.select("id", F.coalesce(F.col("status").isin("verified", "implemented_unverified"), F.lit(False)).alias("ok"))), ("linked", yes(S.links(spark, sf_dir).select(F.col("canonical_id").alias("id")))), ("sourced", yes(S.sources(spark, sf_dir).select(F.col("canonical_id").alias("id"))))]
+    reports = [("built", cap.select("id", F.coalesce(F.col("status").isin("verified", "implemented_unverified"), F.lit(False)).alias("ok"))), ("linked", yes(S.links(spark, sf_dir).select(F.col("canonical_id").alias("id")))), ("sourced", yes(S.sources(spark, sf_dir, "canonical_id").select(F.col("canonical_id").alias("id"))))]
     return E.gate(reports, "id").join(cap.select("id", "cap_key"), "id").select("cap_key", "blockers", "passes")
 
 

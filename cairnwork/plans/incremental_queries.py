@@ -48,7 +48,7 @@ def _generations(spark: SparkSession, path: str) -> list[int]:
 @query(f"with {S.FILE_SQL} select sha256 as digest, min(length(path)) as path_length, count(*) as n_files from fil where sha256 is not null group by 1")
 def memoised_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A derivation by content, half of it found in a cache: equal to deriving all."""
-    fil = materialise(S.files(spark, sf_dir).where("sha256 is not null").groupBy(F.col("sha256").alias("digest")).agg(F.min(F.length("path")).alias("path_length"), F.count("*").alias("n_files")))
+    fil = materialise(S.files(spark, sf_dir, "path", "sha256").where("sha256 is not null").groupBy(F.col("sha256").alias("digest")).agg(F.min(F.length("path")).alias("path_length"), F.count("*").alias("n_files")))
     derive = lambda df: df.select("digest", "path_length", "n_files", "derived_by")
     first, fresh = I.memoised(fil.where(F.substring("digest", 1, 1) < "8"), None, "digest", "v1", derive)
     return I.memoised(fil, materialise(fresh), "digest", "v1", derive)[0].select("digest", "path_length", "n_files")
@@ -67,7 +67,7 @@ _EXT = "lower(regexp_extract(regexp_extract(path, '[^/]*$'), '.\\.([^.]+)$', 1))
 @query(f"with {S.FILE_SQL}, e as (select *, {_EXT} x from fil) select case x when 'rs' then 'rust' when 'ts' then 'typescript' when 'tsx' then 'typescript' when 'py' then 'python' when 'go' then 'go' when 'java' then 'java' when 'rb' then 'ruby' when 'sql' then 'sql' when 'md' then 'markdown' when 'yaml' then 'yaml' end as language, case when x = '' then '(no extension)' else '.' || x end as class, count(*) as n_files from e group by all")
 def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by language and class."""
-    return S.files(spark, sf_dir).groupBy(language(F.col("path")).alias("language"), artifact_class(F.col("path")).alias("class")).agg(F.count("*").alias("n_files"))
+    return S.files(spark, sf_dir, "path").groupBy(language(F.col("path")).alias("language"), artifact_class(F.col("path")).alias("class")).agg(F.count("*").alias("n_files"))
 
 
 @query("with l as (select doc_id, unnest(string_split(text, chr(10))) l from documents where text is not null) select doc_id, count(*) as n_rows, sum(length(l) - length(replace(l, '|', '')) + 1)::bigint as n_cells from l where regexp_matches(l, '^[^|]+\\|[^|]+\\|[^|].*$') and not regexp_matches(l, '\\|\\s*$') group by 1")

@@ -23,14 +23,14 @@ _PROGRESS_SQL = "case {} when 'verified' then 0 when 'implemented_unverified' th
 def links_by_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner join, folded to sources first: a source's links are counted before they meet its donor."""
     per = S.links(spark, sf_dir).groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("k"))
-    return per.join(S.sources(spark, sf_dir), "id").groupBy("donor").agg(F.sum("k").alias("n_links"))
+    return per.join(S.sources(spark, sf_dir, "donor"), "id").groupBy("donor").agg(F.sum("k").alias("n_links"))
 
 
 @query(f"with {S.LINK_SQL}, {S.SRC_SQL}, {S.CAP_SQL} select s.donor, c.domain, count(*) as n_links, count(*) filter (s.moves_money = 1 and coalesce(c.moves_money, 0) = 0) as n_money_disagrees from src s join lnk l on l.source_id = s.id join cap c on c.id = l.canonical_id group by all")
 def donor_domain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tables through a bridge."""
-    s = S.sources(spark, sf_dir).select(F.col("id").alias("source_id"), "donor", F.col("moves_money").alias("sm"))
-    c = S.capabilities(spark, sf_dir).select(F.col("id").alias("canonical_id"), "domain", F.col("moves_money").alias("cm"))
+    s = S.sources(spark, sf_dir, "donor", "moves_money", "canonical_id").select(F.col("id").alias("source_id"), "donor", F.col("moves_money").alias("sm"))
+    c = S.capabilities(spark, sf_dir, "id", "domain", "moves_money").select(F.col("id").alias("canonical_id"), "domain", F.col("moves_money").alias("cm"))
     rows = S.links(spark, sf_dir).join(s, "source_id").join(c, "canonical_id")
     return rows.groupBy("donor", "domain").agg(F.count("*").alias("n_links"), F.count_if((F.col("sm") == 1) & (F.coalesce("cm", F.lit(0)) == 0)).alias("n_money_disagrees"))
 
@@ -38,7 +38,7 @@ def donor_domain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.CAP_SQL}, {S.OVR_SQL} select c.cap_key, case when o.at_us is null then c.status else o.o_status end as status, coalesce(o.o_blocker, c.blocker) as blocker, (o.at_us is not null) as overridden from cap c left join ovr o using (cap_key)")
 def override_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left join with the override that holds last; a withdrawal leaves no status."""
-    rows = S.capabilities(spark, sf_dir).join(S.overrides(spark, sf_dir), "cap_key", "left")
+    rows = S.capabilities(spark, sf_dir, "status", "blocker").join(S.overrides(spark, sf_dir), "cap_key", "left")
     return rows.select("cap_key", F.when(F.col("at_us").isNull(), F.col("status")).otherwise(F.col("o_status")).alias("status"), F.coalesce("o_blocker", "blocker").alias("blocker"), F.col("at_us").isNotNull().alias("overridden"))
 
 
@@ -53,36 +53,36 @@ def orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.CAP_SQL}, {S.SRC_SQL} select cap_key from cap c where c.status = 'verified' and not exists (select 1 from src s where s.canonical_id = c.id and s.surface in ('api', 'cli'))")
 def verified_without_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti join whose other side is filtered first."""
-    shown = S.sources(spark, sf_dir).where(F.col("surface").isin("api", "cli")).select(F.col("canonical_id").alias("id"))
-    return S.capabilities(spark, sf_dir).where("status = 'verified'").join(shown, "id", "left_anti").select("cap_key")
+    shown = S.sources(spark, sf_dir, "surface", "canonical_id").where(F.col("surface").isin("api", "cli")).select(F.col("canonical_id").alias("id"))
+    return S.capabilities(spark, sf_dir, "id", "status").where("status = 'verified'").join(shown, "id", "left_anti").select("cap_key")
 
 
 @query(f"with {S.CAP_SQL}, {S.ARCH} select cap_key, target_crate from cap where target_crate is not null and not exists (select 1 from anode where node = concat('crate:', target_crate, '#0'))")
 def crates_without_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti join on a computed key."""
     nodes, _ = S.architecture(spark, sf_dir)
-    return S.capabilities(spark, sf_dir).where("target_crate is not null").withColumn("node", F.concat(F.lit("crate:"), "target_crate", F.lit("#0"))).join(nodes.select("node"), "node", "left_anti").select("cap_key", "target_crate")
+    return S.capabilities(spark, sf_dir, "target_crate").where("target_crate is not null").withColumn("node", F.concat(F.lit("crate:"), "target_crate", F.lit("#0"))).join(nodes.select("node"), "node", "left_anti").select("cap_key", "target_crate")
 
 
 @query(f"with {S.CAP_SQL}, {S.LINK_SQL} select cap_key from cap where id in (select canonical_id from lnk)")
 def linked_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semi join."""
-    return S.capabilities(spark, sf_dir).join(S.links(spark, sf_dir).select(F.col("canonical_id").alias("id")), "id", "left_semi").select("cap_key")
+    return S.capabilities(spark, sf_dir, "id").join(S.links(spark, sf_dir).select(F.col("canonical_id").alias("id")), "id", "left_semi").select("cap_key")
 
 
 @query(f"with {S.CAP_SQL}, {S.SRC_SQL} select c.cap_key, (select s.id from src s where s.canonical_id = c.id order by (s.surface is not distinct from 'api') desc, s.id limit 1) as source_id from cap c")
 def best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first source of each capability: of surface api before others, then the least id."""
-    ranked = X.first_per_key(S.sources(spark, sf_dir).where("canonical_id is not null"), ["canonical_id"], [F.when(F.col("surface") == "api", 0).otherwise(1), F.col("id")], ["id"])
-    c = S.capabilities(spark, sf_dir).select("cap_key", F.col("id").alias("canonical_id"))
+    ranked = X.first_per_key(S.sources(spark, sf_dir, "surface", "canonical_id").where("canonical_id is not null"), ["canonical_id"], [F.when(F.col("surface") == "api", 0).otherwise(1), F.col("id")], ["id"])
+    c = S.capabilities(spark, sf_dir, "id").select("cap_key", F.col("id").alias("canonical_id"))
     return c.join(ranked, "canonical_id", "left").select("cap_key", F.col("id").alias("source_id"))
 
 
 @query(f"with {S.OPP_SQL}, {S.SCORE_SQL}, b as (select opportunity_id, max(evolution_score) s from sco group by 1) select opp_id, b.s as best_score, (b.s is null) as unscored from opp left join b on b.opportunity_id = opp_id order by unscored, best_score desc, opp_id limit 30")
 def scored_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left join whose missing side sorts last; the head of the queue."""
-    best = S.scores(spark, sf_dir).groupBy(F.col("opportunity_id").alias("opp_id")).agg(F.max("evolution_score").alias("best_score"))
-    rows = S.opportunities(spark, sf_dir).join(best, "opp_id", "left").select("opp_id", "best_score", F.col("best_score").isNull().alias("unscored"))
+    best = S.scores(spark, sf_dir, "opportunity_id", "evolution_score").groupBy(F.col("opportunity_id").alias("opp_id")).agg(F.max("evolution_score").alias("best_score"))
+    rows = S.opportunities(spark, sf_dir, "category").join(best, "opp_id", "left").select("opp_id", "best_score", F.col("best_score").isNull().alias("unscored"))
     return rows.orderBy("unscored", F.desc("best_score"), "opp_id").limit(30)
 
 
@@ -97,13 +97,13 @@ def _roots(fil: DataFrame) -> DataFrame:
 @query(f"with {S.FILE_SQL}, {_ROOTS_SQL}, r as (select root, min(who) who from roots group by 1) select file_id, (select who from r where fil.path = r.root or starts_with(fil.path, r.root || '/') order by length(r.root) desc limit 1) as who from fil")
 def prefix_owner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The owner of the longest directory above each file."""
-    fil = S.files(spark, sf_dir).select("file_id", "path", "donor")
+    fil = S.files(spark, sf_dir, "donor", "path").select("file_id", "path", "donor")
     return J.longest_prefix_owner(fil.select("file_id", "path"), "path", _roots(fil), "root", "who").select("file_id", "who")
 
 
 @query(f"with {S.SRC_SQL}, {S.CAP_SQL}, u as (select canonical_name, min(cap_key) cap_key from cap where canonical_name is not null group by 1 having count(*) = 1) select s.id, u.cap_key from src s left join u on u.canonical_name = s.canonical_name")
 def unique_name_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.unique_name_join(S.sources(spark, sf_dir).select("id", "canonical_name"), S.capabilities(spark, sf_dir).select("canonical_name", "cap_key"), "canonical_name", "cap_key").select("id", "cap_key")
+    return J.unique_name_join(S.sources(spark, sf_dir, "canonical_name").select("id", "canonical_name"), S.capabilities(spark, sf_dir, "id", "canonical_name").select("canonical_name", "cap_key"), "canonical_name", "cap_key").select("id", "cap_key")
 
 
 @query(f"with {S.ARCH}, a as (select dst k, src a, bool_or(kind = 'writes') w, bool_or(kind = 'reads') r from aedge where kind in ('writes', 'reads') and src is not null and dst is not null group by all) select k as state, count(*) filter (w) as n_writers, count(*) filter (r) as n_readers, count(*) filter (w) * count(*) filter (r) - count(*) filter (w and r) as n_flows from a group by 1")
@@ -147,7 +147,7 @@ def declared_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains that crates serve, against edges observed between the crates' nodes."""
     nodes, edges = S.architecture(spark, sf_dir)
     membership = nodes.where("crate is not null").select(F.lower(F.trim("crate")).alias("entity"), F.col("node").alias("member"))
-    said = S.capabilities(spark, sf_dir).where("target_crate is not null and domain is not null").select(F.col("target_crate").alias("src"), F.concat(F.lit("vantor-"), "domain").alias("dst")).where("src <> dst")
+    said = S.capabilities(spark, sf_dir, "domain", "target_crate").where("target_crate is not null and domain is not null").select(F.col("target_crate").alias("src"), F.concat(F.lit("vantor-"), "domain").alias("dst")).where("src <> dst")
     return J.declared_against_observed(said, edges.where("src is not null and dst is not null"), membership)
 
 
@@ -158,7 +158,7 @@ _TOK = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
   s as (select a, b, count(*) shared from x join y using (w) where length(w) >= 4 group by all having count(*) >= 2) select a as canonical_name, b as cap_key, shared from s qualify row_number() over (partition by a order by shared desc, b) = 1""")
 def token_overlap_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each source name the capability key with most words in common, two at least."""
-    return J.best_token_overlap(S.sources(spark, sf_dir), "canonical_name", S.capabilities(spark, sf_dir), "cap_key", least=4, least_shared=2)
+    return J.best_token_overlap(S.sources(spark, sf_dir, "canonical_name"), "canonical_name", S.capabilities(spark, sf_dir, "canonical_name"), "cap_key", least=4, least_shared=2)
 
 
 @query(f"""with {S.ARCH}, k as (select distinct lower(crate) crate from anode where crate is not null), w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+')) w from documents) select doc_id, w as crate, count(*) as n from w join k on k.crate = w.w group by all""")
@@ -174,21 +174,21 @@ def crate_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the evidence of an edge lies: the path itself, else the only file of that name."""
     refs = S.architecture(spark, sf_dir)[1].where("evidence_ref is not null").select("id", F.regexp_replace("evidence_ref", ":[0-9]+$", "").alias("ref"))
-    return J.resolve_references(refs, "ref", S.files(spark, sf_dir), "path").select("id", "resolved", "how")
+    return J.resolve_references(refs, "ref", S.files(spark, sf_dir, "path"), "path").select("id", "resolved", "how")
 
 
 @query(f"with {S.SRC_SQL}, {S.LINK_SQL} select s.id, s.canonical_id, l.canonical_id as linked_id from src s left join lnk l on l.source_id = s.id where s.canonical_id is not null and (l.canonical_id is null or l.canonical_id <> s.canonical_id)")
 def link_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left join kept where the bridge lacks the key or disagrees with it."""
     l = S.links(spark, sf_dir).select(F.col("source_id").alias("id"), F.col("canonical_id").alias("linked_id"))  # noqa: E741
-    return S.sources(spark, sf_dir).where("canonical_id is not null").join(l, "id", "left").where("linked_id is null or linked_id <> canonical_id").select("id", "canonical_id", "linked_id")
+    return S.sources(spark, sf_dir, "canonical_id").where("canonical_id is not null").join(l, "id", "left").where("linked_id is null or linked_id <> canonical_id").select("id", "canonical_id", "linked_id")
 
 
 @query(f"""with {S.CAP_SQL}, rep as ({S.CAP_SQL[8:-1].replace("canonical_capability", "canonical_capability_replica")}), top as (select coalesce(max(id), 0) t from cap), add_ as (select cap_key, status, row_number() over (order by cap_key) rn from rep where cap_key not in (select cap_key from cap))
   select id, cap_key, status from cap union all select t + rn, cap_key, status from add_, top""")
 def precedence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The primary list, and what only the replica has, numbered after it."""
-    first = S.capabilities(spark, sf_dir).select("id", "cap_key", "status")
+    first = S.capabilities(spark, sf_dir, "id", "status").select("id", "cap_key", "status")
     second = live_replica(spark, sf_dir)
     return J.precedence_union(first, second, "cap_key", "id")
 
@@ -203,16 +203,16 @@ def live_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
   select distinct k as module, id as member, hub from m join h using (k)""")
 def unified_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capabilities, sources and files of one module, tied to one hub."""
-    cap = S.capabilities(spark, sf_dir).select(F.concat(F.lit("cap:"), "cap_key").alias("id"), F.lit("capability").alias("family"), F.col("target_module").alias("module"))
-    src = S.sources(spark, sf_dir).select(F.concat(F.lit("src:"), F.col("id").cast("string")).alias("id"), F.lit("source").alias("family"), "module")
-    fil = S.files(spark, sf_dir).select(F.concat(F.lit("fil:"), F.col("file_id").cast("string")).alias("id"), F.lit("file").alias("family"), F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.when(F.col("path").isNotNull(), F.lit(""))).alias("module"))
+    cap = S.capabilities(spark, sf_dir, "id", "target_module").select(F.concat(F.lit("cap:"), "cap_key").alias("id"), F.lit("capability").alias("family"), F.col("target_module").alias("module"))
+    src = S.sources(spark, sf_dir, "module").select(F.concat(F.lit("src:"), F.col("id").cast("string")).alias("id"), F.lit("source").alias("family"), "module")
+    fil = S.files(spark, sf_dir, "path").select(F.concat(F.lit("fil:"), F.col("file_id").cast("string")).alias("id"), F.lit("file").alias("family"), F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.when(F.col("path").isNotNull(), F.lit(""))).alias("module"))
     return J.unify_families(J.union_all([cap, src, fil]), "id", "family", "module")
 
 
 @query(f"with {S.CAP_SQL}, {S.OVR_SQL}, k as (select cap_key from cap union select cap_key from ovr) select k.cap_key, case when o.at_us is null then 'MISSING' when o.o_status = 'verified' then 'CURRENT' else 'OTHER' end as state from k left join ovr o using (cap_key)")
 def override_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required and observed keys with the state of the latest record."""
-    return J.dimension_status(S.capabilities(spark, sf_dir).select("cap_key"), S.overrides(spark, sf_dir), "cap_key", "at_us", F.coalesce(F.col("o_status") == "verified", F.lit(False)))
+    return J.dimension_status(S.capabilities(spark, sf_dir, "id").select("cap_key"), S.overrides(spark, sf_dir), "cap_key", "at_us", F.coalesce(F.col("o_status") == "verified", F.lit(False)))
 
 
 @query(f"with {_CRATE_SQL}, c as (select node, kind from anode) select e.id, e.kind from aedge e join c x on x.node = e.src join c y on y.node = e.dst where (x.kind, y.kind) in (('store', 'service'), ('store', 'gate'), ('crate', 'gate'))")
@@ -226,7 +226,7 @@ def forbidden_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {S.SRC_SQL}, m as (select s.id, case when s.module = 'bank_feed' then 'module' when s.donor = 'dapple-warren' then 'donor' when s.surface is not null then 'surface' end via, case when s.module = 'bank_feed' then 'treasury' when s.donor = 'dapple-warren' then 'core' when s.surface is not null then 'surface-' || s.surface end target from src s) select id, target, via from m""")
 def rule_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule that matches a source: by module, by donor, by surface."""
-    src = S.sources(spark, sf_dir).select("id", "module", "donor", "surface")
+    src = S.sources(spark, sf_dir, "donor", "module", "surface").select("id", "module", "donor", "surface")
     rules = spark.createDataFrame([("module", "bank_feed", 0, "treasury"), ("donor", "dapple-warren", 1, "core")] + [("surface", s, 2, f"surface-{s}") for s in ("governance", "automation", "cli", "worker", "model", "ui", "api")], "kind string, value string, rank int, target string")
     return J.first_matching_rule(src, [("module", F.col("module")), ("donor", F.col("donor")), ("surface", F.col("surface"))], F.broadcast(rules)).select("id", "target", "via")
 
@@ -236,7 +236,7 @@ def rule_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.SRC_SQL} select surface, count(*) as n_rows, count(distinct donor) as n_donors, count(*) filter (moves_money = 1) as n_money, max(id) as last_id, coalesce(sum(requires_approval), 0)::bigint as n_approval, count(*) filter (target_crate is null) as n_no_crate from src group by 1")
 def conditional_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda c: F.count_if(F.col(c) == 1)
-    return S.sources(spark, sf_dir).groupBy("surface").agg(F.count("*").alias("n_rows"), F.countDistinct("donor").alias("n_donors"), one("moves_money").alias("n_money"), F.max("id").alias("last_id"), F.coalesce(F.sum("requires_approval"), F.lit(0)).alias("n_approval"), F.count_if(F.col("target_crate").isNull()).alias("n_no_crate"))
+    return S.sources(spark, sf_dir, "donor", "surface", "moves_money", "requires_approval", "target_crate").groupBy("surface").agg(F.count("*").alias("n_rows"), F.countDistinct("donor").alias("n_donors"), one("moves_money").alias("n_money"), F.max("id").alias("last_id"), F.coalesce(F.sum("requires_approval"), F.lit(0)).alias("n_approval"), F.count_if(F.col("target_crate").isNull()).alias("n_no_crate"))
 
 
 @query("select o_orderstatus, o_orderpriority, count(*) as n_rows, count(*) filter (o_totalprice > 200000) as n_large from orders group by all")
@@ -267,7 +267,7 @@ def boundary_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {S.CAP_SQL} select side_effect_class, arg_min(status, {_PROGRESS_SQL.format('status')}) filter (status is not null) as best_status, arg_max(status, {_PROGRESS_SQL.format('status')}) filter (status is not null and status in ('verified','implemented_unverified','unimplemented','blocked','excluded')) as worst_status, count(*) as n_rows, count(distinct domain) as n_domains from cap group by 1")
 def strongest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cap = S.capabilities(spark, sf_dir)
+    cap = S.capabilities(spark, sf_dir, "domain", "side_effect_class", "status")
     known = F.when(F.col("status").isin(*R.PROGRESS), F.col("status"))
     return cap.groupBy("side_effect_class").agg(R.strongest(R.PROGRESS, F.col("status")).alias("best_status"), F.max(F.when(known.isNotNull(), F.struct(R.rank(R.PROGRESS, known).alias("r"), known.alias("s"))))["s"].alias("worst_status"), F.count("*").alias("n_rows"), F.countDistinct("domain").alias("n_domains"))
 
@@ -275,7 +275,7 @@ def strongest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.FILE_SQL} select kind, count(*) filter (read_status = 'reviewed') as n_ok, count(*) filter (read_status in ('unread_pending', 'classified_not_read')) as n_unknown, count(*) filter (read_status = 'blocked') as n_unsupported from fil group by 1")
 def coverage_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("read_status")
-    return S.files(spark, sf_dir).groupBy("kind").agg(F.count_if(s == "reviewed").alias("n_ok"), F.count_if(s.isin("unread_pending", "classified_not_read")).alias("n_unknown"), F.count_if(s == "blocked").alias("n_unsupported"))
+    return S.files(spark, sf_dir, "kind", "read_status").groupBy("kind").agg(F.count_if(s == "reviewed").alias("n_ok"), F.count_if(s.isin("unread_pending", "classified_not_read")).alias("n_unknown"), F.count_if(s == "blocked").alias("n_unsupported"))
 
 
 @query(f"with {S.CAP_SQL} select domain, round(count(*) filter (status = 'verified') * 100.0 / nullif(count(*) filter (status <> 'excluded'), 0), 1) as percent, case when count(*) filter (status = 'verified') * 2 >= count(*) then 'high' when count(*) filter (status = 'verified') * 5 >= count(*) then 'middle' else 'low' end as band, round(avg(coalesce(donor_count, 0)), 6) as mean_donors from cap group by 1")
@@ -283,20 +283,20 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratio (none where nothing counts), band, and a mean in which nulls are 0."""
     v, all_ = F.count_if(F.col("status") == "verified"), F.count_if(F.col("status") != "excluded")
     band = F.when(v * 2 >= F.count("*"), "high").when(v * 5 >= F.count("*"), "middle").otherwise("low")
-    return S.capabilities(spark, sf_dir).groupBy("domain").agg(F.round(F.try_divide(v * 100.0, all_), 1).alias("percent"), band.alias("band"), F.round(F.avg(F.coalesce("donor_count", F.lit(0))), 6).alias("mean_donors"))
+    return S.capabilities(spark, sf_dir, "domain", "donor_count", "status").groupBy("domain").agg(F.round(F.try_divide(v * 100.0, all_), 1).alias("percent"), band.alias("band"), F.round(F.avg(F.coalesce("donor_count", F.lit(0))), 6).alias("mean_donors"))
 
 
 @query(f"with {S.SRC_SQL} select canonical_id, bool_and(coalesce(moves_money, 0) = 1) as all_money, bool_or(coalesce(moves_money, 0) = 1) as any_money, max(coalesce(requires_approval, 0)) as approval, min(canonical_name) as name, string_agg(distinct target_crate, ',' order by target_crate) as crates, count(distinct donor) as n_donors from src where canonical_id is not null group by 1")
 def collapsed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates collapsed: flags folded by and / or, the first name, the set of crates."""
     m = F.coalesce("moves_money", F.lit(0)) == 1
-    return S.sources(spark, sf_dir).where("canonical_id is not null").groupBy("canonical_id").agg(F.bool_and(m).alias("all_money"), F.bool_or(m).alias("any_money"), F.max(F.coalesce("requires_approval", F.lit(0))).alias("approval"), F.min("canonical_name").alias("name"), F.nullif(F.array_join(F.array_sort(F.collect_set("target_crate")), ","), F.lit("")).alias("crates"), F.countDistinct("donor").alias("n_donors"))
+    return S.sources(spark, sf_dir, "donor", "canonical_name", "moves_money", "requires_approval", "canonical_id", "target_crate").where("canonical_id is not null").groupBy("canonical_id").agg(F.bool_and(m).alias("all_money"), F.bool_or(m).alias("any_money"), F.max(F.coalesce("requires_approval", F.lit(0))).alias("approval"), F.min("canonical_name").alias("name"), F.nullif(F.array_join(F.array_sort(F.collect_set("target_crate")), ","), F.lit("")).alias("crates"), F.countDistinct("donor").alias("n_donors"))
 
 
 @query(f"with {S.SRC_SQL}, g as (select donor, module, count(*) n from src where module is not null group by all) select donor, module, n as n_rows from g qualify row_number() over (partition by donor order by n desc, module) = 1")
 def main_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Argmax with a tie-break."""
-    g = S.sources(spark, sf_dir).where("module is not null").groupBy("donor", "module").agg(F.count("*").alias("n_rows"))
+    g = S.sources(spark, sf_dir, "donor", "module").where("module is not null").groupBy("donor", "module").agg(F.count("*").alias("n_rows"))
     return X.first_per_key(g, ["donor"], [-F.col("n_rows"), F.col("module")], ["module", "n_rows"])
 
 
@@ -310,7 +310,7 @@ def interval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.FILE_SQL}, h as (select donor, kind, count(*)::double n from fil where donor is not null and kind is not null group by all), t as (select kind, sum(n) n from h group by 1), a as (select donor, sum(n) n from h group by 1), z as (select sum(n) n from h) select h.donor, round(sum(abs(ln((h.n / a.n) / (t.n / z.n)))), 6) as novelty from h join t using (kind) join a using (donor), z group by 1")
 def donor_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How unusual a donor's mix of kinds is: summed absolute log ratios of shares."""
-    h = S.files(spark, sf_dir).where("donor is not null and kind is not null").groupBy("donor", "kind").agg(F.count("*").alias("n"))
+    h = S.files(spark, sf_dir, "donor", "kind").where("donor is not null and kind is not null").groupBy("donor", "kind").agg(F.count("*").alias("n"))
     part = h.withColumns({"a": F.sum("n").over(W.partitionBy("donor"))})
     kinds = h.groupBy("kind").agg(F.sum("n").alias("t"))
     kinds = kinds.withColumn("z", F.sum("t").over(W.partitionBy()))  # one row for each kind
@@ -320,15 +320,15 @@ def donor_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.SRC_SQL}, a as (select count(*) n from src), b as (select coalesce(sum(k), 0)::bigint n from (select surface, count(*) k from src group by 1)), c as (select count(distinct id) n from src) select a.n as n_in, b.n as n_out, (a.n = b.n and a.n = c.n) as closed from a, b, c")
 def accounting_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in, rows accounted for, and whether that closes."""
-    by = S.sources(spark, sf_dir).groupBy("surface").agg(F.count("*").alias("k"), F.countDistinct("id").alias("d"))
+    by = S.sources(spark, sf_dir, "surface").groupBy("surface").agg(F.count("*").alias("k"), F.countDistinct("id").alias("d"))
     return by.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_in"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_out"), F.coalesce(F.sum("k") == F.sum("d"), F.lit(True)).alias("closed"))
 
 
 @query(f"with {S.CAP_SQL}, {S.SRC_SQL}, d as (select canonical_id, count(distinct donor) n from src group by 1) select c.cap_key, c.donor_count as stated, coalesce(d.n, 0) as counted from cap c left join d on d.canonical_id = c.id where c.donor_count is distinct from coalesce(d.n, 0)")
 def donor_count_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pre-aggregated count against the rows it was made of."""
-    d = S.sources(spark, sf_dir).groupBy(F.col("canonical_id").alias("id")).agg(F.countDistinct("donor").alias("counted"))
-    rows = S.capabilities(spark, sf_dir).join(d, "id", "left").select("cap_key", F.col("donor_count").alias("stated"), F.coalesce("counted", F.lit(0)).alias("counted"))
+    d = S.sources(spark, sf_dir, "donor", "canonical_id").groupBy(F.col("canonical_id").alias("id")).agg(F.countDistinct("donor").alias("counted"))
+    rows = S.capabilities(spark, sf_dir, "id", "donor_count").join(d, "id", "left").select("cap_key", F.col("donor_count").alias("stated"), F.coalesce("counted", F.lit(0)).alias("counted"))
     return rows.where(~F.col("stated").eqNullSafe(F.col("counted")))
 
 
@@ -357,14 +357,14 @@ def strongest_with_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0))
     top, avg = F.max("evolution_score"), F.avg("evolution_score")
-    return S.scores(spark, sf_dir).where("opportunity_id is not null").groupBy("opportunity_id").agg(F.round((mean("learning_value") + mean("optionality") + mean("adaptability")) / 3, 6).alias("composite"), F.round(F.abs(top - avg), 2).alias("gap"), F.when(top > avg, "above").otherwise("level").alias("direction"))
+    return S.scores(spark, sf_dir, "opportunity_id", "learning_value", "optionality", "adaptability", "evolution_score").where("opportunity_id is not null").groupBy("opportunity_id").agg(F.round((mean("learning_value") + mean("optionality") + mean("adaptability")) / 3, 6).alias("composite"), F.round(F.abs(top - avg), 2).alias("gap"), F.when(top > avg, "above").otherwise("level").alias("direction"))
 
 
 @query(f"with {S.OPP_SQL} select opp_id, impact * reach * leverage as ev, round(try_cast(impact * reach * leverage * confidence as double) / nullif(effort, 0), 2) as priority from opp where impact is not null and reach is not null and leverage is not null")
 def opportunity_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived scores; a missing or zero divisor gives none."""
     ev = F.col("impact") * F.col("reach") * F.col("leverage")
-    return S.opportunities(spark, sf_dir).where("impact is not null and reach is not null and leverage is not null").select("opp_id", ev.alias("ev"), F.round(F.try_divide((ev * F.col("confidence")).cast("double"), F.col("effort")), 2).alias("priority"))
+    return S.opportunities(spark, sf_dir, "impact", "reach", "leverage", "effort", "confidence", "ev", "priority").where("impact is not null and reach is not null and leverage is not null").select("opp_id", ev.alias("ev"), F.round(F.try_divide((ev * F.col("confidence")).cast("double"), F.col("effort")), 2).alias("priority"))
 
 
 @query("select count(*) as n_rows, sum(ps)::bigint as checksum from (select ((c_custkey * 31 + c_nationkey * 17 + length(c_name)) % 1000003) ps from customer)")
@@ -462,6 +462,6 @@ def set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.SRC_SQL}, {S.LINK_SQL}, u as (select canonical_id c, id s from src where canonical_id is not null union all select canonical_id, source_id from lnk where canonical_id > 0 and source_id > 0) select c as canonical_id, count(*) as n_paths, count(distinct s) as n_sources from u group by 1")
 def two_join_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UNION ALL of two ways from capability to source, counted with and without duplicates."""
-    a = S.sources(spark, sf_dir).where("canonical_id is not null").select("canonical_id", F.col("id").alias("s"))
+    a = S.sources(spark, sf_dir, "canonical_id").where("canonical_id is not null").select("canonical_id", F.col("id").alias("s"))
     b = S.links(spark, sf_dir).where("canonical_id > 0 and source_id > 0").select("canonical_id", F.col("source_id").alias("s"))
     return a.unionByName(b).groupBy("canonical_id").agg(F.count("*").alias("n_paths"), F.countDistinct("s").alias("n_sources"))

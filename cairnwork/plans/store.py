@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.functions.text import instant_us, normal_form
@@ -12,39 +12,55 @@ from cairnwork.plans.registry import sql_normal_form as nf
 from cairnwork.session import table
 
 
-def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+CAPABILITY = ("id", "canonical_name", "domain", "target_module", "side_effect_class", "moves_money", "requires_approval", "donor_count", "target_crate", "status", "blocker")
+SOURCE = ("donor", "module", "canonical_name", "surface", "side_effect_class", "moves_money", "requires_approval", "canonical_id", "created_pass", "target_crate")
+FILE = ("donor", "path", "is_directory", "kind", "classification", "read_status", "mapped_source_ids", "exclusion_reason", "size_bytes", "mtime_ms", "sha256", "reviewed_by")
+OPPORTUNITY = ("title", "category", "impact", "reach", "leverage", "effort", "confidence", "ev", "priority", "source_repo", "status", "created_at")
+SCORE = ("opportunity_id", "learning_value", "optionality", "adaptability", "knowledge_gain", "evolution_score", "scored_at")
+#: Columns that are compared as text, and so read in normal form.
+_FOLDED = ("target_crate", "blocker")
+
+
+def _folded(c: str) -> Column:
+    return normal_form(F.col(c)).alias(c) if c in _FOLDED else F.col(c)
+
+
+def capabilities(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """`cap_key` and `columns` (all when none is named) of capabilities that are not deleted. The columns named are
+    all that is read: a version is chosen by an aggregation that carries no others."""
+    keep = list(columns or CAPABILITY)
     t = table(spark, sf_dir, "canonical_capability")
-    plain = ["id", "canonical_name", "domain", "target_module", "side_effect_class", "moves_money", "requires_approval", "donor_count"]
-    named = t.select(normal_form(F.col("key")).alias("cap_key"), *plain, *(normal_form(F.col(c)).alias(c) for c in ("target_crate", "status", "blocker")), "deleted_at", "synced_at")
-    return latest_version(named, ["cap_key"], "synced_at", [*plain, "target_crate", "status", "blocker", "deleted_at"]).where("deleted_at is null").drop("deleted_at")
+    named = t.select(normal_form(F.col("key")).alias("cap_key"), *(normal_form(F.col(c)).alias(c) if c == "status" else _folded(c) for c in keep), "deleted_at", "synced_at")
+    return latest_version(named, ["cap_key"], "synced_at", [*keep, "deleted_at"]).where("deleted_at is null").drop("deleted_at")
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "source_capability")
-    plain = ["donor", "module", "canonical_name", "surface", "side_effect_class", "moves_money", "requires_approval", "canonical_id", "created_pass"]
-    named = t.select("id", *plain, normal_form(F.col("target_crate")).alias("target_crate"), "deleted_at", "synced_at")
-    return latest_version(named, ["id"], "synced_at", [*plain, "target_crate", "deleted_at"]).where("deleted_at is null").drop("deleted_at")
+def sources(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """`id` and `columns` of source capabilities that are not deleted."""
+    keep = list(columns or SOURCE)
+    named = table(spark, sf_dir, "source_capability").select("id", *(_folded(c) for c in keep), "deleted_at", "synced_at")
+    return latest_version(named, ["id"], "synced_at", [*keep, "deleted_at"]).where("deleted_at is null").drop("deleted_at")
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_version(table(spark, sf_dir, "provenance"), ["link_id"], "synced_at", ["source_id", "canonical_id", "linked_at"])
+    return latest_version(table(spark, sf_dir, "provenance"), ["link_id"], "synced_at", ["source_id", "canonical_id"])
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = ["donor", "path", "is_directory", "kind", "classification", "read_status", "mapped_source_ids", "exclusion_reason", "size_bytes", "mtime_ms", "sha256", "reviewed_by"]
-    return latest_version(table(spark, sf_dir, "donor_file_census"), ["file_id"], "synced_at", keep)
+def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """`file_id` and `columns` of the file census."""
+    return latest_version(table(spark, sf_dir, "donor_file_census"), ["file_id"], "synced_at", list(columns or FILE))
 
 
-def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = ["title", "category", "impact", "reach", "leverage", "effort", "confidence", "ev", "priority", "source_repo", "status", "created_at", "deleted_at"]
+def opportunities(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """`opp_id` and `columns` of opportunities that are not deleted."""
+    keep = list(columns or OPPORTUNITY)
     named = table(spark, sf_dir, "opportunity").withColumn("opp_id", normal_form(F.col("id")))
-    return latest_version(named, ["opp_id"], "synced_at", keep).where("deleted_at is null").drop("deleted_at")
+    return latest_version(named, ["opp_id"], "synced_at", [*keep, "deleted_at"]).where("deleted_at is null").drop("deleted_at")
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = ["opportunity_id", "learning_value", "optionality", "adaptability", "knowledge_gain", "evolution_score", "scored_at"]
+def scores(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """`score_id` and `columns` of scores."""
     t = table(spark, sf_dir, "evolution_score").withColumn("opportunity_id", normal_form(F.col("opportunity_id")))
-    return latest_version(t, ["score_id"], "synced_at", keep)
+    return latest_version(t, ["score_id"], "synced_at", list(columns or SCORE))
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:

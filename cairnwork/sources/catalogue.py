@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from functools import reduce
 
@@ -140,6 +139,3 @@ def merge_shards(shards: Sequence[tuple[str, DataFrame]], id_: str, version: str
     twice = whole.groupBy(id_).agg(F.count("*").alias("n_rows"), F.array_join(F.array_sort(F.collect_set("lane")), ",").alias("lanes")).where("n_rows > 1")
     return whole, twice
 
-
-def local_path(path: str) -> str:
-    return os.path.abspath(path)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Language by file extension.
-LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "mjs": "javascript", "js": "javascript", "py": "python", "go": "go", "java": "java", "rb": "ruby", "sql": "sql", "md": "markdown", "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml", "adl": "adl"}
+LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "mjs": "javascript", "js": "javascript", "py": "python", "go": "go", "java": "java", "rb": "ruby", "sql": "sql", "md": "markdown", "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml"}
 #: Classes of files without a language, by extension.
 CLASSES = {
     "image": "png jpg jpeg gif webp avif heic heif bmp ico tif tiff", "video": "mp4 mov webm mkv avi", "audio": "wav mp3 ogg flac aac m4a", "document": "pdf docx doc odt pptx xlsx",

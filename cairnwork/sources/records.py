@@ -17,7 +17,8 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str |
     schema nothing is inferred; lines that are no JSON object, or do not fit, are defects with their text."""
     lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("source_file")).where("trim(value) <> ''")
     if schema is None:
-        schema = spark.read.json(lines.select("value").rdd.map(lambda r: r[0])).schema
+        read = spark.read.option("recursiveFileLookup", True).json(path).schema
+        schema = T.StructType([f for f in read.fields if f.name != "_corrupt_record"])
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     names = schema.fieldNames()

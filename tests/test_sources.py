@@ -25,6 +25,7 @@ def test_record_files(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1, "b": "x"}\n\n{broken\n[1]\n{"a": 2}\n')
     good, bad = records.read_json_lines(spark, str(tmp_path), "a int, b string")
     assert sorted((r["a"], r["b"]) for r in good.collect()) == [(1, "x"), (2, None)] and sorted(r["text"] for r in bad.collect()) == ["[1]", "{broken"]
+    assert records.read_json_lines(spark, str(tmp_path))[0].columns == ["source_file", "a", "b"]
     docs = spark.createDataFrame([(1, 'pre\n```json\n{"k": "v", "n": 3}\n```\nmid\n```json\nnope\n```\n```json\n{"n": 1}\n```'), (2, None)], "id int, t string")
     got = {r["block"]: (r["defect"], r["k"], r["n"]) for r in records.fenced_records(docs, "id", "t", "k string, n int", ["k"]).collect()}
     assert got == {0: (None, "v", 3), 1: ("no json", None, None), 2: ("lacks k", None, None)}
