@@ -42,7 +42,8 @@ def p1_row_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["status", "target_crate"]
     copies = [table(spark, sf_dir, t).select(normal_form(F.col("key")).alias("cap_key"), *(normal_form(F.col(f)).alias(f) for f in fields)) for t in ("canonical_capability", "canonical_capability_replica")]
     diff = diff_copies(*copies, ["cap_key"], fields)
-    return diff.select("cap_key", *(F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in ("left", "right") for f in fields), F.col("n").alias("n_rows"), F.array_join("differing", ",").alias("differing"))
+    held = F.when(F.col("right").isNull(), "primary").when(F.col("left").isNull(), "replica").otherwise("both")
+    return diff.select("cap_key", held.alias("held_by"), *(F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in ("left", "right") for f in fields), F.col("n").alias("n_rows"), F.array_join("differing", ",").alias("differing"))
 
 
 def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def _roots(fil: DataFrame) -> DataFrame:
 @query(f"with {S.FILE_SQL}, {_ROOTS_SQL}, r as (select root, min(who) who from roots group by 1) select file_id, (select who from r where fil.path = r.root or starts_with(fil.path, r.root || '/') order by length(r.root) desc limit 1) as who from fil")
 def prefix_owner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The owner of the longest directory above each file."""
-    fil = S.files(spark, sf_dir, "donor", "path").select("file_id", "path", "donor")
+    fil = materialise(S.files(spark, sf_dir, "donor", "path").select("file_id", "path", "donor"))
     return J.longest_prefix_owner(fil.select("file_id", "path"), "path", _roots(fil), "root", "who").select("file_id", "who")
 
 
