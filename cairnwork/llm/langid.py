@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnwork.llm.bpe import spread
+
 #: The languages, with their ISO 639 codes and English names.
 LANGUAGES = {
     "en": ("eng", "english"),
@@ -333,8 +335,8 @@ def label_languages(df: DataFrame, key: str, text: str, lang: str, model: Langua
     row for each line with a sentence. `stated` is the language that the label names, or null.
 
     Null, empty and wordless texts, and texts of code alone, have a null language with confidence 0.
-    Whole texts are read, whatever their length. A row depends on its document alone: no shuffle, and no
-    document is collected. The model travels as one broadcast, its size bounded by the fitting sample.
+    Whole texts are read, whatever their length. A row depends on its document alone: nothing is
+    shuffled but where the input has fewer partitions than cores, and no document is collected. The model travels as one broadcast, its size bounded by the fitting sample.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -351,5 +353,5 @@ def label_languages(df: DataFrame, key: str, text: str, lang: str, model: Langua
                         rows += [(k, n, x, c, stated) for n, x, c in lines]
                 yield pd.DataFrame(rows, columns=[key, "line_no", "lang", "confidence", "stated"])
 
-    chosen = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    chosen = spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")))
     return chosen.mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, line_no int, lang string, confidence double, stated string")
