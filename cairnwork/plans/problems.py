@@ -35,7 +35,7 @@ shaped as (select *, case
 one as (select k, epoch_us(ts) us, s, b from shaped where ts is not null qualify row_number() over (partition by k, ts order by o desc) = 1),
 stepped as (select *, row_number() over w as rn, lag(s) over w ps, lag(b) over w pb from one window w as (partition by k order by us)),
 changed as (select * from stepped where case when s is null then ps is not null when rn = 1 or ps is null then true else s <> ps or b is distinct from pb end),
-ended as (select k, us, s, lead(us) over (partition by k order by us) nxt from changed)
+ended as (select k, us, s, b, lead(us) over (partition by k order by us) nxt from changed)
 select k as cap_key, us as valid_from_us, coalesce(nxt, -1) as valid_to_us from ended where s is not null
 """
 
@@ -93,7 +93,7 @@ from o full join n on o.cap_key = n.cap_key where o.cap_key is null or n.cap_key
 register("p1_found", capability.p1_found, _P1)
 register("p1_row_differences", capability.p1_row_differences)
 register("p2_found", capability.p2_found, _P2)
-register("p2_history", capability.p2_history)
+register("p2_history", capability.p2_history, _P2.replace("select k as cap_key, us as", "select k as cap_key, s as status, b as blocker, us as"))
 register("p2_snapshot_changes", capability.p2_snapshot_changes, _P2_CHANGES)
 register("p3_found", capability.p3_found)
 register("p4_found", campaign.p4_found, _P4)
