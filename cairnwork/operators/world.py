@@ -28,7 +28,8 @@ class World:
         move (descend, return, state), evidence
     effects: function, category, status, label;  state: key, function, role (read, write)
     coverage: path, dimension, status;  dependencies: src, dst, declared, built, calls, verdict
-    invariants: id, kind, status, scope (array of subsystems), evidence (array of functions)
+    invariants: id, kind, status, scope (array of subsystems), evidence (array of functions); an invariant with
+        much evidence has many rows, each with a part of it, as a state that very many functions write
     spelled: function, name, n (unresolved call sites by the name at the site)
     """
 
@@ -214,7 +215,7 @@ def invariants(world: World, scope: Scope) -> DataFrame:
     """Invariants that the scope bears on, strongest first: by evidence, or (but for state) by subsystem."""
     by_evidence = world.invariants.select("id", F.explode("evidence").alias("f")).join(scope.functions.select(F.col("id").alias("f")), "f", "left_semi").select("id")
     by_scope = world.invariants.where("kind <> 'STATE'").select("id", F.explode("scope").alias("name")).join(scope.subsystems, "name", "left_semi").select("id")
-    return world.invariants.join(by_evidence.union(by_scope).distinct(), "id", "left_semi").select("id", "kind", "status").orderBy(R.rank(R.STRENGTH, F.col("status")), "id")
+    return world.invariants.join(by_evidence.union(by_scope).distinct(), "id", "left_semi").select("id", "kind", "status").distinct().orderBy(R.rank(R.STRENGTH, F.col("status")), "id")
 
 
 def dependencies(world: World, scope: Scope) -> DataFrame:

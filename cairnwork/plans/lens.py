@@ -36,8 +36,7 @@ def architecture_world(spark: SparkSession, sf_dir: str, dependencies: bool = Fa
     coverage = nodes.where("file_path is not null").select(F.col("file_path").alias("path"), F.upper("kind").alias("dimension"), stand.alias("status"))
     deps = P.reconcile_three_way(spark, sf_dir) if dependencies else spark.createDataFrame([], "src string, dst string, declared boolean, built boolean, calls bigint, verdict string")
     invariants = deps.where("verdict = 'CONFIRMED'").select(F.concat_ws(":", F.lit("INV-DEPENDENCY"), "src", "dst").alias("id"), F.lit("DEPENDENCY").alias("kind"), F.lit("DERIVED").alias("status"), F.array("src", "dst").alias("scope"), F.array().cast("array<string>").alias("evidence"))
-    writers = state.where("role = 'write'").groupBy("key").agg(F.array_sort(F.collect_set("function")).alias("evidence")).where("size(evidence) <= 3")
-    writers = writers.select(F.concat_ws(":", F.lit("INV-STATE"), "key").alias("id"), F.lit("STATE").alias("kind"), F.lit("INFERRED").alias("status"), F.array().cast("array<string>").alias("scope"), "evidence")
+    writers = state.where("role = 'write'").select(F.concat_ws(":", F.lit("INV-STATE"), "key").alias("id"), F.lit("STATE").alias("kind"), F.lit("INFERRED").alias("status"), F.array().cast("array<string>").alias("scope"), F.array("function").alias("evidence"))
     spelled = missing.groupBy(F.col("src").alias("function"), F.regexp_extract("dst", ":([^#]*)", 1).alias("name")).agg(F.count("*").alias("n"))
     return L.World(functions, relations, effects, state, coverage, materialise(deps), materialise(invariants.unionByName(writers)), spelled)
 
