@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,9 +84,10 @@ def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> Data
 INFERRED_STEPS = ("ENCLOSES", "DISPATCHES_TO", "UNIQUE_NAME")
 
 
-def upstream(steps: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
+def upstream(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth, reason): dependents of `seeds`, where a step is (src, dst, why) and `why` is null for a
     resolved step, else why it is only inferred. `reason` is the first inferred step of the way.
+    All of them, unless `max_depth` is given.
 
     The least depth counts; of ways of equal depth a resolved one is preferred, then the order of
     INFERRED_STEPS, so that the result does not depend on the order of rows.
@@ -95,7 +97,7 @@ def upstream(steps: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataF
     edges = materialise(steps.select("src", "dst", "why").where("src is not null and dst is not null").distinct())
     frontier = materialise(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("reason")))
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.coalesce("reason", "why").alias("reason"))
         best = step.groupBy("node").agg(F.min(F.struct(rank(F.col("reason")).alias("k"), "reason")).alias("m")).select("node", F.lit(depth).alias("depth"), F.col("m.reason").alias("reason"))
         frontier = materialise(best.join(seen.select("node"), "node", "left_anti"))

@@ -124,11 +124,22 @@ def architecture_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
   w3 as (select s.dst node, min(case when w2.k > 0 then w2.k when why is null then 0 when why = 'ENCLOSES' then 1 else 2 end) k from s join w2 on w2.node = s.src join m t on t.node = s.dst and t.depth = 3 group by 1)
   select node, depth, case k when 1 then 'ENCLOSES' when 2 then 'DISPATCHES_TO' end as reason from (select *, 1 as depth from w1 union all select *, 2 from w2 union all select *, 3 from w3)""")
 def architecture_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependents over resolved and inferred steps, with the first inferred step of the way."""
+    """Dependents up to three steps away, as the SQL has it; `architecture_upstream_all` has them all."""
+    return G.upstream(*upstream_steps(spark, sf_dir), 3)
+
+
+def upstream_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, why) from each node to what rests on it, and the nodes of one crate."""
     nodes, edges = architecture(spark, sf_dir)
     why = F.when(F.col("kind") == "owns", "ENCLOSES").when(F.col("kind") == "guards", "DISPATCHES_TO")
     steps = edges.where("kind in ('calls', 'owns', 'guards')").select(F.col("dst").alias("src"), F.col("src").alias("dst"), why.alias("why"))
-    return G.upstream(steps, nodes.where("crate = 'vantor-core'").select("node"), 3)
+    return steps, nodes.where("crate = 'vantor-core'").select("node")
+
+
+@query()
+def architecture_upstream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dependents over resolved and inferred steps, with the first inferred step of the way."""
+    return G.upstream(*upstream_steps(spark, sf_dir))
 
 
 def trace_moves(edges: DataFrame) -> DataFrame:
