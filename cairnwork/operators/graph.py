@@ -66,12 +66,13 @@ def labelled_reach(edges: DataFrame, roots: DataFrame, blocked: Column | None =
     return fixed_point(roots.select("node", "label"), lambda d: d.join(steps, d["node"] == steps["src"]).where(passable).select(F.col("dst").alias("node"), "label"), max_rounds)
 
 
-def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(node, depth) of all nodes reached from `seeds` (node), the seeds themselves left out."""
+def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth) of all nodes reached from `seeds` (node), the seeds themselves left out; no further than
+    `max_depth` where that is given."""
     steps = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     frontier = materialise(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = materialise(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

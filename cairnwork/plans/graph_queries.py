@@ -109,10 +109,22 @@ aedge as (select id, {_NF("from_node")} src, {_NF("to_node")} dst, kind, evidenc
   r(node, depth) as (select node, 0 from anode where crate = 'vantor-core' union select s.dst, r.depth + 1 from r join s on s.src = r.node where r.depth < 6),
   m as (select node, min(depth) depth from r group by 1) select node, depth from m where depth > 0""")
 def architecture_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What calls or depends on the nodes of one crate, up to six steps away."""
+    """What calls or depends on the nodes of one crate, up to six steps away, as the SQL has it;
+    `architecture_dependents_all` has them all."""
+    return G.bfs_depth(*dependent_steps(spark, sf_dir), 6)
+
+
+def dependent_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) from each node to what calls or depends on it, and the nodes of one crate."""
     nodes, edges = architecture(spark, sf_dir)
     back = edges.where("kind in ('calls', 'depends_on')").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.bfs_depth(back, nodes.where("crate = 'vantor-core'").select("node"), 6)
+    return back, nodes.where("crate = 'vantor-core'").select("node")
+
+
+@query()
+def architecture_dependents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that calls or depends on the nodes of one crate, however far away."""
+    return G.bfs_depth(*dependent_steps(spark, sf_dir))
 
 
 @query(f"""with recursive {ARCH_SQL}, s as (select distinct dst as src, src as dst, case kind when 'calls' then null when 'owns' then 'ENCLOSES' else 'DISPATCHES_TO' end why from aedge where src is not null and dst is not null and kind in ('calls', 'owns', 'guards')),
