@@ -39,8 +39,8 @@ ended as (select k, us, s, b, lead(us) over (partition by k order by us) nxt fro
 select k as cap_key, us as valid_from_us, coalesce(nxt, -1) as valid_to_us from ended where s is not null
 """
 
-_P4 = """
-with files as (select feed, file_no, lead(file_no) over (partition by feed order by file_no) nxt from (select distinct feed, file_no from campaign_record)),
+_P4_BASE = """
+with recursive files as (select feed, file_no, lead(file_no) over (partition by feed order by file_no) nxt from (select distinct feed, file_no from campaign_record)),
 ok as (select feed, file_no, payload::json p from campaign_record where json_valid(payload) and json_type(payload) = 'OBJECT'),
 keyed as (select feed, file_no, p->>'donor' donor, p, unnest(json_keys(p)) field from ok),
 val as (select feed, file_no, donor, field, json_extract(p, '$."' || field || '"') v from keyed),
@@ -52,13 +52,26 @@ side as (select coalesce(n.feed, o.feed) feed, coalesce(n.file_no, o.file_no) fi
 ch as (select side.* from side join fst using (feed) where file_no > m),
 gv as (select c.feed, c.file_no, c.field, t.donor, t.v::varchar v from ch c join files f on f.feed = c.feed and f.nxt = c.file_no join typed t on t.feed = c.feed and t.file_no = f.file_no and t.field = c.field where c.nt is null),
 cv as (select c.feed, c.file_no, c.field, t.donor, t.v::varchar v from ch c join typed t using (feed, file_no, field) where c.ot is null),
-ren as (select g.feed, g.file_no, g.field o, c.field n from gv g join cv c using (feed, file_no, donor) group by all having bool_and(g.v = c.v))
+ren as (select g.feed, g.file_no, g.field o, c.field n from gv g join cv c using (feed, file_no, donor) group by all having bool_and(g.v = c.v))"""
+_P4 = _P4_BASE + """
 select feed, file_no::int as file_no, o || '>' || n as field, 'renamed' as change from ren
 union all select feed, file_no::int, field, 'retyped' from ch where ot <> nt
 union all select feed, file_no::int, field, 'removed' from ch where nt is null and not exists (select 1 from ren where ren.feed = ch.feed and ren.file_no = ch.file_no and ren.o = ch.field)
 union all select feed, file_no::int, field, 'added' from ch where ot is null and not exists (select 1 from ren where ren.feed = ch.feed and ren.file_no = ch.file_no and ren.n = ch.field)
 """
 
+_P4_COLUMNS = _P4_BASE + """,
+r1 as (select feed, file_no, min(o) o, n from (select feed, file_no, o, min(n) n from ren group by all) group by feed, file_no, n),
+came as (select feed, file_no, n field from r1 union select feed, file_no, field from ch where ot is null and not exists (select 1 from ren where ren.feed = ch.feed and ren.file_no = ch.file_no and ren.n = ch.field)),
+run as (select r1.feed, r1.o, (select max(c.file_no) from came c where c.feed = r1.feed and c.field = r1.o and c.file_no < r1.file_no) since, r1.n, r1.file_no upto from r1),
+way as (select feed, o, since, n label, upto, 1 d from run union all select w.feed, w.o, w.since, r.n, r.upto, d + 1 from way w join run r on r.feed = w.feed and r.o = w.label and r.since = w.upto),
+last as (select feed, o, since, arg_max(label, d) label from way group by all),
+here as (select s.feed, s.file_no, s.field, max(c.file_no) since from sch s left join came c on c.feed = s.feed and c.field = s.field and c.file_no <= s.file_no group by all),
+lab as (select h.feed, h.file_no, h.field, coalesce(l.label, h.field) label from here h left join last l on l.feed = h.feed and l.o = h.field and l.since is not distinct from h.since),
+num as (select *, row_number() over (partition by feed, file_no, label order by field <> label, field) rn from lab)
+select feed, file_no::int as file_no, field, case when rn = 1 then label end as column_name from num where field <> label or rn > 1
+"""
+
 
 def _parent(t: str, key: str, ident: str) -> str:
     return f"(select v.i as ref, v.d as d, v.c as created from (select {key} k, arg_max({{'i': {ident}, 'd': deleted_at is not null, 'c': created_at}}, synced_at) v from {t} group by 1))"
@@ -98,6 +111,7 @@ register("p2_snapshot_changes", capability.p2_snapshot_changes, _P2_CHANGES)
 register("p3_found", capability.p3_found)
 register("p4_found", campaign.p4_found, _P4)
 register("p4_scripts", campaign.p4_scripts)
+register("p4_columns", campaign.p4_columns, _P4_COLUMNS)
 register("p4_table", campaign.p4_table)
 register("p5_found", capability.p5_found, _P5)
 register("p5_counts", capability.p5_counts, f"select child_table, ref_field, defect, period, count(*) as n_rows from ({_P5}) group by all")

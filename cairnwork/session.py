@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from uuid import uuid4
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,18 +19,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable. The cluster names the shared folder in spark.checkpoint.dir, and that
-    folder is used as it is; only where the setting is absent one is made: in a temporary folder of a single
-    machine, on a cluster beside its tables."""
+def use_checkpoint_dir(spark: SparkSession) -> str:
+    """Make checkpoint() usable, and say where. The cluster names the shared folder in spark.checkpoint.dir, and
+    that folder is used as it is. Where the setting is absent, a single machine gets a temporary folder, and a
+    cluster is refused: a folder that only one machine sees would lose its parts with an executor."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+    if (there := sc.getCheckpointDir()) is not None:
+        return there
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        shared = tempfile.mkdtemp(prefix="cairnwork-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        shared = tempfile.mkdtemp(prefix="cairnwork-")
     sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -38,6 +42,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As `materialise`, but written as a columnar table, which for many rows is a fraction of the size and
+    lets later readers take single columns. The tables of a session are removed when it ends."""
+    spark = df.sparkSession
+    path = f"{use_checkpoint_dir(spark)}/table-{uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended before the interpreter
+        pass
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, row_bytes: Column | None = None) -> DataFrame:
     """`df`, hinted for broadcast when its measured size is at most `limit`; else `df` as it is, which
     joins by shuffle. Give it a frame that is cheap to read (materialised or a small dimension table)."""
