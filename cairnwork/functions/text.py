@@ -33,6 +33,8 @@ def normal_form(c: Column) -> Column:
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _RFC = r"(?i)^(?:[a-z]{3,9},?\s+)?(\d{1,2})\s+([a-z]{3})[a-z]*\.?,?\s+(\d{4})\s+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(gmt|utc|z|[+-]\d{2}:?\d{2})?$"
 _ISO = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[Tt\s]\s*(\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)\s*([Zz]|(?i:utc|gmt)|[+-]\d{2}(?::?\d{2})?)?)?$"
+#: What the engine's own cast reads as it stands, but for a missing zone.
+_PLAIN = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d{1,6})?(?:Z|[+-]\d\d:\d\d)?$"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})([Zz]|[+-]\d{2}:?\d{2})?$"
 
 
@@ -72,4 +74,6 @@ def instant_us(text: Column) -> Column:
         epoch = F.when(scale.isNull(), (number / 1000).try_cast("long")).otherwise((number * scale).try_cast("long"))
         return F.when(t.rlike(r"^\d{4}[-/.]"), iso).when(t.rlike(r"^-?\d{9,19}(?:\.\d+)?$"), epoch).when(t.rlike(r"^\d{8}[Tt]"), compact).otherwise(rfc)
 
-    return _once(F.btrim(text, F.lit(ASCII_SPACE + "\u00a0\u3000")), read)
+    trimmed = F.btrim(text, F.lit(ASCII_SPACE + "\u00a0\u3000"))
+    zoned = F.when(F.substring(trimmed, -1, 1) == "Z", trimmed).when(F.substring(trimmed, -6, 1).isin("+", "-"), trimmed).otherwise(F.concat(trimmed, F.lit("Z")))
+    return F.when(trimmed.rlike(_PLAIN), F.unix_micros(zoned.try_cast("timestamp"))).otherwise(_once(trimmed, read))

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.functions.text import instant_us, normal_form
 from cairnwork.operators.copydiff import diff_copies
-from cairnwork.operators.history import snapshot_changes, version_history
+from cairnwork.operators.history import append_snapshot, snapshot_changes, stored_history, version_history
 from cairnwork.operators.orphans import orphan_counts, orphan_references
 from cairnwork.operators.unpack import unpack_values
 from cairnwork.operators.versions import latest_version
-from cairnwork.session import materialise, table
+from cairnwork.session import materialise, table, use_checkpoint_dir
 
 #: A snapshot is taken every 30 days of event time.
 SNAPSHOT_US = 30 * 86_400 * 1_000_000
@@ -68,6 +69,20 @@ def p2_snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("cap_key", "change", F.col("old.status").alias("old_status"), F.col("new.status").alias("new_status"), F.col("old.target_crate").alias("old_crate"), F.col("new.target_crate").alias("new_crate"))
 
 
+#: Instants at which p2_appended takes its snapshots.
+SNAPSHOTS = ("2024-07-01", "2025-01-01", "2025-07-01", "2026-01-01", "2027-01-01")
+
+
+def p2_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of status and crate in the capability list, from the whole list as it stood at each of SNAPSHOTS,
+    taken one after the other into a stored history."""
+    folder = f"{use_checkpoint_dir(spark)}/history-{uuid4().hex}"
+    rows = table(spark, sf_dir, "canonical_capability")
+    for n, day in enumerate(SNAPSHOTS):
+        append_snapshot(folder, live_capabilities(rows.where(F.col("synced_at") <= F.lit(day).cast("timestamp_ntz"))), ["cap_key"], ["status", "target_crate"], n, 1)
+    return stored_history(spark, folder, ["cap_key"], ["status", "target_crate"]).select("cap_key", "status", "target_crate", F.col("valid_from").alias("from_snapshot"), F.coalesce("valid_to", F.lit(-1)).cast("long").alias("to_snapshot"))
+
+
 def packed_fields(spark: SparkSession, sf_dir: str, counts: bool) -> DataFrame:
     """(src_table, row_key, is_path, packed) of the four packed fields; `counts`: of versions that count,
     else of all rows."""

@@ -103,11 +103,22 @@ select coalesce(o.cap_key, n.cap_key) as cap_key, case when o.cap_key is null th
 from o full join n on o.cap_key = n.cap_key where o.cap_key is null or n.cap_key is null or o.status is distinct from n.status or o.crate is distinct from n.crate
 """
 
+_P2_APPENDED = f"""
+with days as (select unnest({list(capability.SNAPSHOTS)!r}::timestamp[]) d, generate_subscripts({list(capability.SNAPSHOTS)!r}, 1) - 1 n),
+v as (select d.n, {nf("key")} k, max({{'s': synced_at, 'status': {nf("status")}, 'crate': {nf("target_crate")}, 'x': deleted_at}}) v from canonical_capability c join days d on c.synced_at <= d.d group by all),
+alive as (select n, k, v.status st, v.crate cr from v where k is not null and v.x is null),
+grid as (select k, days.n, a.k is not null here, a.st, a.cr from (select distinct k from alive) ks cross join days left join alive a using (k, n)),
+step as (select *, lag(here) over w ph, lag(st) over w ps, lag(cr) over w pc from grid window w as (partition by k order by n)),
+chg as (select *, lead(n) over (partition by k order by n) nxt from step where here is distinct from coalesce(ph, false) or (here and (st is distinct from ps or cr is distinct from pc)))
+select k as cap_key, st as status, cr as target_crate, n::bigint as from_snapshot, coalesce(nxt, -1)::bigint as to_snapshot from chg where here
+"""
+
 register("p1_found", capability.p1_found, _P1)
 register("p1_row_differences", capability.p1_row_differences)
 register("p2_found", capability.p2_found, _P2)
 register("p2_history", capability.p2_history, _P2.replace("select k as cap_key, us as", "select k as cap_key, s as status, b as blocker, us as"))
 register("p2_snapshot_changes", capability.p2_snapshot_changes, _P2_CHANGES)
+register("p2_appended", capability.p2_appended, _P2_APPENDED)
 register("p3_found", capability.p3_found)
 register("p4_found", campaign.p4_found, _P4)
 register("p4_scripts", campaign.p4_scripts)

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cairnwork.operators.history import differing_leaves, leaf_of, snapshot_changes, version_history
+from cairnwork.operators.history import append_snapshot, differing_leaves, differing_updates, leaf_of, snapshot_changes, stored_history, version_history
 
 SCHEMA = "key string, at long, o long, status string, blocker string, set_at string"
 
@@ -27,8 +27,8 @@ def brute(rows):
     return out
 
 
-def history(spark, rows, period=10):
-    df = version_history(spark.createDataFrame(rows, SCHEMA), ["key"], "at", "o", ["status", "blocker"], F.col("status").isNotNull(), period)
+def history(spark, rows, period=10, **more):
+    df = version_history(spark.createDataFrame(rows, SCHEMA), ["key"], "at", "o", ["status", "blocker"], F.col("status").isNotNull(), period, **more)
     assert df.columns == ["key", "status", "blocker", "valid_from", "valid_to"]
     return {tuple(r) for r in df.collect()}
 
@@ -67,3 +67,36 @@ def test_snapshot_changes(spark):
 def test_leaves_are_in_range(spark):
     low, high = spark.range(5000).select(leaf_of("id").alias("l")).agg(F.min("l"), F.max("l")).first()
     assert 0 <= low and high < 4096
+
+
+def test_hot_keys_are_cut_by_time(spark):
+    rnd = random.Random(8)
+    rows = [("hot" if i % 3 else "b", rnd.randint(0, 900), i, rnd.choice("xyz"), None, "") for i in range(900)]
+    assert history(spark, rows, period=500, segment_rows=40) == brute(rows)
+
+
+def test_unchanged_leaves_are_not_read(spark):
+    """Updates that restate what held leave their leaf as it was; one change reads that leaf alone."""
+    first = [(f"k{i}", 0, 1, i + 5) for i in range(200)]
+    again = [(f"k{i}", 1, 11, i + 5) for i in range(200) if i != 7] + [("k7", 1, 11, 99), ("k7", 1, 12, 12), ("k8", 1, 13, 0), ("k8", 1, 14, 13)]
+    df = spark.createDataFrame(first + again, "key string, _period long, _at long, _h long").withColumns({"_seg": F.col("_period"), "_s": F.struct("_h")})
+    found = differing_updates(df, ["key"])[0].where("_period = 1").collect()
+    leaves = {r["l"] for r in spark.createDataFrame([("k7",), ("k8",)], "key string").select(leaf_of("key").alias("l")).collect()}
+    with_leaf = {r["key"] for r in df.withColumn("l", leaf_of("key")).where(F.col("l").isin(*leaves)).collect()}
+    assert {"k7", "k8"} <= {r["key"] for r in found} <= with_leaf and len(found) < 12
+    assert {(r["key"], r["_prev"]) for r in found if r["key"] in ("k7", "k8")} == {("k7", 12), ("k8", 13)}
+
+
+def test_appended_snapshots(spark, tmp_path):
+    folder = str(tmp_path / "h")
+    frame = lambda d: spark.createDataFrame([(k, v, "x") for k, v in d.items()] + [(None, 1, "x")], "k string, v int, more string")
+    states, at = [{f"k{i}": i for i in range(500)}], [10, 20, 30, 40]
+    states.append(states[0] | {"k3": -1, "new": 1})
+    states.append(dict(states[1]))
+    states.append({k: v for k, v in states[2].items() if k != "k4"} | {"k3": 3})
+    told = [append_snapshot(folder, frame(s), ["k"], ["v"], t) for s, t in zip(states, at)]
+    assert told[0]["rows_read"] == 0 and told[2] == {"leaves": told[1]["leaves"], "changed": 0, "rows_read": 0}
+    assert told[1]["changed"] == 2 and told[1]["rows_read"] < 30 and told[3]["rows_read"] < 30  # parts of changed branches alone
+    got = {tuple(r) for r in stored_history(spark, folder, ["k"], ["v"]).collect()}
+    want = {(f"k{i}", i, 10, None) for i in range(500) if i not in (3, 4)} | {("k3", 3, 10, 20), ("k3", -1, 20, 40), ("k3", 3, 40, None), ("k4", 4, 10, 40), ("new", 1, 20, None)}
+    assert got == want
