@@ -47,6 +47,14 @@ def p1_row_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.select("cap_key", held.alias("held_by"), *(F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in ("left", "right") for f in fields), F.col("n").alias("n_rows"), F.array_join("differing", ",").alias("differing"))
 
 
+def p1_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the raw rows of each key compare: differing rows of the primary copy and of the replica, and how many of
+    them found a partner."""
+    rows = p1_row_differences(spark, sf_dir)
+    held = lambda *w: F.coalesce(F.sum(F.when(F.col("held_by").isin(*w), F.col("n_rows"))), F.lit(0)).cast("long")
+    return rows.groupBy("cap_key").agg(held("primary", "both").alias("n_primary"), held("replica", "both").alias("n_replica"), held("both").alias("n_paired"))
+
+
 def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "canonical_status_override")
     return t.select(normal_form(F.col("canonical_key")).alias("cap_key"), instant_us(F.col("set_at")).alias("at_us"), "override_id", normal_form(F.col("status")).alias("status"), normal_form(F.col("blocker")).alias("blocker"))

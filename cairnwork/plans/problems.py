@@ -103,6 +103,13 @@ select coalesce(o.cap_key, n.cap_key) as cap_key, case when o.cap_key is null th
 from o full join n on o.cap_key = n.cap_key where o.cap_key is null or n.cap_key is null or o.status is distinct from n.status or o.crate is distinct from n.crate
 """
 
+_P1_ROWS = f"""
+with b as (select {nf("key")} k, {nf("status")} s, {nf("target_crate")} c, 1 w from canonical_capability union all select {nf("key")}, {nf("status")}, {nf("target_crate")}, -1 from canonical_capability_replica),
+net as (select k, s, c, sum(w) n from b group by all having sum(w) <> 0),
+side as (select k, coalesce(sum(n) filter (n > 0), 0)::bigint l, coalesce(-sum(n) filter (n < 0), 0)::bigint r from net group by 1)
+select k as cap_key, l as n_primary, r as n_replica, least(l, r) as n_paired from side
+"""
+
 _P2_APPENDED = f"""
 with days as (select unnest({list(capability.SNAPSHOTS)!r}::timestamp[]) d, generate_subscripts({list(capability.SNAPSHOTS)!r}, 1) - 1 n),
 v as (select d.n, {nf("key")} k, max({{'s': synced_at, 'status': {nf("status")}, 'crate': {nf("target_crate")}, 'x': deleted_at}}) v from canonical_capability c join days d on c.synced_at <= d.d group by all),
@@ -115,6 +122,7 @@ select k as cap_key, st as status, cr as target_crate, n::bigint as from_snapsho
 
 register("p1_found", capability.p1_found, _P1)
 register("p1_row_differences", capability.p1_row_differences)
+register("p1_row_counts", capability.p1_row_counts, _P1_ROWS)
 register("p2_found", capability.p2_found, _P2)
 register("p2_history", capability.p2_history, _P2.replace("select k as cap_key, us as", "select k as cap_key, s as status, b as blocker, us as"))
 register("p2_snapshot_changes", capability.p2_snapshot_changes, _P2_CHANGES)

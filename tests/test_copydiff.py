@@ -4,7 +4,7 @@ from itertools import permutations
 
 import pytest
 
-from cairnwork.operators.copydiff import diff_copies, min_cost_pairs
+from cairnwork.operators.copydiff import cost_bounds, diff_copies, min_cost_pairs
 
 SCHEMA = "k string, a string, b string, extra int"
 
@@ -37,6 +37,26 @@ def test_flow_finds_the_least_cost():
         assert sum(n * cost(cl[i][0], cr[j][0]) for i, j, n in pairs) == brute(left, right)
 
 
+def textbook(left, right):
+    """The least cost by another way: shortest augmenting paths on the whole matrix, one row a time."""
+    from cairnwork.operators.drift import assign
+
+    left, right = sorted((left, right), key=len)
+    grid = [[cost(x, y) for y in right] for x in left]
+    return sum(grid[i][j] for i, j in enumerate(assign(grid)))
+
+
+@pytest.mark.parametrize("fields", [1, 2, 3, 5, 8])
+def test_larger_bags_against_another_solver(fields):
+    rnd = random.Random(fields)
+    bag = lambda n: [tuple(rnd.choice("abcdef") for _ in range(fields)) for _ in range(n)]
+    left, right = bag(90), bag(120)
+    cl, cr = list(Counter(left).items()), list(Counter(right).items())
+    pairs = min_cost_pairs([(n, v) for v, n in cl], [(n, v) for v, n in cr])
+    assert sum(n for _, _, n in pairs) == 90
+    assert sum(n * cost(cl[i][0], cr[j][0]) for i, j, n in pairs) == textbook(left, right)
+
+
 def test_many_classes_in_one_task():
     rnd = random.Random(1)
     side = lambda: [(1, (rnd.randint(0, 40), rnd.randint(0, 40))) for _ in range(600)]
@@ -61,13 +81,13 @@ def test_empty_tables(spark):
     assert len(run(spark, [], [("a", "1", "1", 0)])) == 1
 
 
-@pytest.mark.parametrize("flow_classes", [4000, 0])
-def test_bags_of_a_key(spark, flow_classes):
-    """By flow, and for keys above the bound by layers: rows are kept whole either way."""
+@pytest.mark.parametrize("pair_work", [10**6, 3])
+def test_bags_of_a_key(spark, pair_work):
+    """In one task, and for keys above the bound in chunks: rows are kept whole either way."""
     rnd = random.Random(7)
     make = lambda: [(rnd.choice("pq"), rnd.choice(["x", "y", None]), rnd.choice("uvw"), 0) for _ in range(14)]
     left, right = make(), make()
-    got = run(spark, left, right, flow_classes=flow_classes)
+    got = run(spark, left, right, pair_work=pair_work)
     for k in "pq":
         mine = [r for r in got if r["k"] == k]
         cl, cr = (Counter((r[1], r[2]) for r in rows if r[0] == k) for rows in (left, right))
@@ -83,5 +103,29 @@ def test_bags_of_a_key(spark, flow_classes):
         paired = [r for r in mine if r["left"] and r["right"]]
         assert sum(r["n"] for r in paired) == min(len(lo), len(ro))
         assert all(len(r["differing"]) == cost(r["left"], r["right"]) for r in paired)
-        if flow_classes and len(lo) <= 7 and len(ro) <= 7:
+        if pair_work > 3 and len(lo) <= 7 and len(ro) <= 7:
             assert sum(r["n"] * len(r["differing"]) for r in paired) == brute(lo, ro)
+
+
+def test_hot_keys_in_chunks(spark):
+    """A key too large for one task, with many fields: nothing is lost, all that can be is paired, near the bound."""
+    rnd = random.Random(3)
+    fields = ["a", "b", "c", "d"]
+    make = lambda n: [("hot", *(rnd.choice("uvwxyz") for _ in fields)) for _ in range(n)]
+    left, right = make(300), make(260)
+    frames = [spark.createDataFrame(rows, "k string, " + ", ".join(f"{f} string" for f in fields)) for rows in (left, right)]
+    got = diff_copies(*frames, ["k"], fields, pair_work=900)
+    rows = got.collect()
+    cl, cr = Counter(r[1:] for r in left), Counter(r[1:] for r in right)
+    back = [Counter(), Counter()]
+    for r in rows:
+        for side, c in zip(("left", "right"), back):
+            if r[side]:
+                c[tuple(r[side])] += r["n"]
+    assert back[0] == cl - cr and back[1] == cr - cl
+    lo, ro = list((cl - cr).elements()), list((cr - cl).elements())
+    paired = sum(r["n"] for r in rows if r["left"] and r["right"])
+    assert paired == min(len(lo), len(ro))
+    bounds = cost_bounds(got, ["k"], fields).first()
+    best = textbook(lo, ro)
+    assert bounds["n_pairs"] == paired and bounds["least"] <= best <= bounds["cost"] <= 1.5 * best
