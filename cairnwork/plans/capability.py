@@ -14,7 +14,7 @@ from cairnwork.operators.history import append_snapshot, snapshot_changes, store
 from cairnwork.operators.orphans import orphan_counts, orphan_references
 from cairnwork.operators.unpack import unpack_values
 from cairnwork.operators.versions import latest_version
-from cairnwork.session import materialise, table, use_checkpoint_dir
+from cairnwork.session import stored, table, use_checkpoint_dir
 
 #: A snapshot is taken every 30 days of event time.
 SNAPSHOT_US = 30 * 86_400 * 1_000_000
@@ -145,13 +145,19 @@ def referred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+_BY = ("child_table", "ref_field", "period")
+
+
+def _dated_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(references(spark, sf_dir).withColumn("period", F.date_format("at", "yyyy-MM")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reference whose record is missing, deleted or came later."""
-    child = materialise(references(spark, sf_dir))
-    found = orphan_references(child, referred(spark, sf_dir), ["parent_table", "ref"], "at")
-    return found.select("child_table", "row_id", "ref_field", "defect", F.date_format("at", "yyyy-MM").alias("period"))
+    found = orphan_references(_dated_references(spark, sf_dir), referred(spark, sf_dir), ["parent_table", "ref"], "at", _BY)
+    return found.select("child_table", "row_id", "ref_field", "defect", "period")
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references by table, field, kind and month."""
-    return orphan_counts(p5_found(spark, sf_dir), "child_table", "ref_field", "defect", "period")
+    return orphan_counts(_dated_references(spark, sf_dir), referred(spark, sf_dir), ["parent_table", "ref"], "at", _BY).select("child_table", "ref_field", "defect", "period", "n_rows")
