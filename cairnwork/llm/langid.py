@@ -50,15 +50,20 @@ TEMPER = 0.2
 _KNOWN = {x: code for code, more in LANGUAGES.items() for x in (code, *more)}
 #: What is no language by its form: it is scored with its sentence, but its letters do not count.
 _MASK = re.compile(
-    r"`[^`\n]*`|https?://\S+|\b(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{6,}\b|\w*[A-Za-z0-9_]+(?:(?:::|/|_)[A-Za-z0-9_.\-]+)+", re.ASCII
+    r"`[^`\n]*`|https?://\S+|\b(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{6,}\b|(?<!\w)\w+(?:(?:::|/|_)[A-Za-z0-9_.\-]+)+", re.ASCII
 )
+_MASKED = re.compile(r"[`/_0:]")  # without one of these, a folded text has nothing to mask
 _TIME = re.compile(r"\d{4}-\d\d-\d\d[T ][\d:.]+Z?")
-_HEAD = re.compile(r"^[\s​>#*•\-–+|]*(?:\[[ xX]?\]\s*)?(?:\d+[.)]\s+)?(?:\[\d+\]\s*)?")
+_HEAD = re.compile(r"^[ >#*•\-–+|]*(?:\[[ xX]?\] *)?(?:\d+[.)] +)?(?:\[\d+\] *)?", re.M)
 _STOP = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|(?<=[。！？])")
 #: A line that teaches a language ends as a sentence does.
 _ENDED = re.compile(r"[.!?…。！？][\"')\]]*$")
-_GAPS = re.compile(r"[\s​﻿]+")
+#: White space other than one blank.
+_GAPS = re.compile("(?:[^\\S\n ]|[\u200b\ufeff])(?:[^\\S\n]|[\u200b\ufeff])*| (?:[^\\S\n]|[\u200b\ufeff])+")
 _DIGITS = re.compile(r"\d")
+_ZEROS = dict.fromkeys(range(48, 58), "0")
+#: Longest text that is scored in one; a longer sentence is scored in parts. Characters scored at once.
+PART, AT_ONCE = 1 << 16, 1 << 20
 
 
 def label_code(label: str | None) -> str | None:
@@ -70,17 +75,19 @@ def label_code(label: str | None) -> str | None:
     return _KNOWN.get(m.group(1)) if m else None
 
 
-def fold(line: str) -> str:
-    """A line as the models see it: composed, no list marks, times or numbers, white space folded, lower case."""
-    body = _HEAD.sub("", _GAPS.sub(" ", _TIME.sub(" ", unicodedata.normalize("NFC", line))))
-    return _DIGITS.sub("0", body.lower()).strip()
+def fold(text: str) -> str:
+    """A text as the models see it, line by line: composed, no list marks, times or numbers, white space folded,
+    lower case."""
+    body = _HEAD.sub("", _GAPS.sub(" ", _TIME.sub(" ", unicodedata.normalize("NFC", text))))
+    body = body.lower()
+    return (body.translate(_ZEROS) if body.isascii() else _DIGITS.sub("0", body)).strip(" ")
 
 
 def sentences(line: str) -> list[tuple[str, int]]:
-    """(folded text, letters) of the sentences of a line that has letters besides masked ones."""
+    """(text, letters) of the sentences of a folded line that has letters besides masked ones."""
     out: list[tuple[str, int]] = []
-    for part in _STOP.split(fold(line)):
-        letters = sum(map(str.isalpha, _MASK.sub("", part)))
+    for part in _STOP.split(line):
+        letters = sum(map(str.isalpha, _MASK.sub("", part) if _MASKED.search(part) else part))
         if not letters:
             continue
         if out and (letters < 8 or out[-1][1] < 8):
@@ -185,10 +192,26 @@ class KneserNey:
             self.contexts.append(contexts), self.logw.append(np.log(w).astype(np.float32))
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood of each text in each class, and its number of characters."""
+        """Log-likelihood of each text in each class, and its number of characters. Texts are taken in lots, and long
+        ones in parts, so that memory does not go with their length."""
+        sums, lengths = np.zeros((len(texts), self.logp[1].shape[1])), np.zeros(len(texts))
+        lot: list[str] = []
+        whose: list[int] = []
+        held = 0
+        for i, text in enumerate(texts):
+            for at in range(0, max(len(text), 1), PART):
+                lot.append(text[at : at + PART])
+                whose.append(i)
+                held += len(lot[-1]) + self.order + 1
+                if held >= AT_ONCE:
+                    self._score_lot(lot, whose, sums, lengths)
+                    lot, whose, held = [], [], 0
+        if lot:
+            self._score_lot(lot, whose, sums, lengths)
+        return sums, lengths
+
+    def _score_lot(self, texts: list[str], whose: list[int], sums_of: np.ndarray, lengths_of: np.ndarray) -> None:
         classes = self.logp[1].shape[1]
-        if not texts:
-            return np.zeros((0, classes)), np.zeros(0)
         codes, counts_here, owner = _codes(texts, self.order)
         h = _hashes(codes, self.order)
         at = np.flatnonzero(counts_here)
@@ -200,7 +223,8 @@ class KneserNey:
             row, ok = _find(self.contexts[n], h[n - 1][at - 1])
             self._add(sums, owner[at[ok]], self.logw[n][row[ok]])
         self._add(sums, owner[at], np.full((len(at), classes), self.floor, np.float32))
-        return sums, np.bincount(owner[counts_here], minlength=len(texts)).astype(float)
+        np.add.at(sums_of, whose, sums)
+        np.add.at(lengths_of, whose, np.bincount(owner[counts_here], minlength=len(texts)))
 
     @staticmethod
     def _add(sums: np.ndarray, owner: np.ndarray, rows: np.ndarray) -> None:
@@ -276,59 +300,68 @@ def fitting_lines(df: DataFrame, text: str, lang: str, fit_lines: int = FIT_LINE
     return [(k, x) for k, v in found.items() for x in v]
 
 
+def _totals(group: np.ndarray, groups: int, chosen: np.ndarray, weights: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group of sentences the class with most weight among `chosen`, and the confidence: the class's share
+    of the weight times the certainty of the sentences that are in it."""
+    classes = score.shape[1]
+    amount = np.bincount(group * classes + chosen, weights, groups * classes).reshape(groups, classes)
+    best = amount.argmax(1)
+    own = chosen == best[group]
+    total = np.stack([np.bincount(group[own], score[own, c], groups) for c in range(classes)], 1)
+    at = np.arange(groups)
+    certain = 1 / np.exp(np.clip(TEMPER * (total - total[at, best][:, None]), -50, 50)).sum(1)
+    return best, np.round(amount[at, best] / np.maximum(amount.sum(1), 1) * certain, 4)
+
+
 def classify(model: LanguageModel, texts: list[str | None]) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
-    """For each text its language, the confidence, and the lines that hold a sentence, with theirs."""
-    parts: list[str] = []
-    of: list[tuple[int, int, int]] = []
+    """For each text its language, the confidence, and the lines that hold a sentence, with theirs. A sentence that
+    occurs more than once is scored once."""
+    distinct: dict[str, int] = {}
+    of: list[tuple[int, int, int, int]] = []
     for d, text in enumerate(texts):
-        for n, line in enumerate(text.split("\n") if text else (), 1):
-            if line and not line.isspace():
-                for t, letters in sentences(line):
-                    parts.append(t)
-                    of.append((d, n, letters))
+        if text:
+            for n, line in enumerate(fold(text).split("\n") if "\n" not in text else _folded_lines(text), 1):
+                if line:
+                    for t, letters in sentences(line):
+                        of.append((d, n, letters, distinct.setdefault(t, len(distinct))))
     out: list = [(None, 0.0, []) for _ in texts]
-    if not parts:
+    if not of:
         return out
-    ll, n_chars = model.models.score(parts)
+    ll, n_chars = model.models.score(list(distinct))
     languages = [k for k, c in enumerate(model.classes) if c != CODE]
+    names = [model.classes[k] for k in languages]
+    doc, line, letters, which = np.array(of, np.int64).T
     score = ll[:, languages]
     best = score.argmax(1)
-    top = score[np.arange(len(parts)), best]
-    kept = top / -n_chars <= model.reject[languages][best]
+    top = score.max(1)
+    fits = top / -n_chars <= model.reject[languages][best]
     if CODE in model.classes:
-        kept &= top + PRIOR > ll[:, model.classes.index(CODE)]
-    names = [model.classes[k] for k in languages]
-    doc, line, letters = (np.array(x) for x in zip(*of))
-    begin = 0
-    for end in np.flatnonzero(np.r_[doc[1:] != doc[:-1], True]) + 1:
-        rows = [i for i in range(begin, end) if kept[i]]
-        d, begin = int(doc[begin]), int(end)
-        if not rows:
-            continue
-        amount = np.zeros(len(names))
-        for i in rows:
-            amount[best[i]] += letters[i]
-        whole = int(amount.argmax())
-        lines: dict[int, np.ndarray] = {}
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for i in rows:
-            n, own = int(line[i]), int(best[i] if score[i, best[i]] > score[i, whole] + PRIOR else whole)
-            lines.setdefault(n, np.zeros(len(names)))[own] += letters[i]
-            for at in (n, 0):  # line 0 is the document
-                sums[at, own] = sums.get((at, own), 0) + score[i]
-        lines[0] = np.sum(list(lines.values()), axis=0)
-
-        def judged(n: int) -> tuple[str, float]:
-            """The language of most letters; its share times the certainty of the sentences that are in it."""
-            k = int(lines[n].argmax())
-            s = sums[n, k]
-            sure = 1 / np.exp(np.clip(TEMPER * (s - s[k]), -50, 50)).sum()
-            return names[k], round(float(lines[n][k] / lines[n].sum() * sure), 4)
-
-        out[d] = (*judged(0), [(n, *judged(n)) for n in sorted(lines) if n])
+        fits &= top + PRIOR > ll[:, model.classes.index(CODE)]
+    kept = fits[which]
+    if not kept.any():
+        return out
+    doc, line, letters, which = doc[kept], line[kept], letters[kept], which[kept]
+    score, best, top = score[which], best[which], top[which]
+    docs, doc = np.unique(doc, return_inverse=True)
+    classes = len(names)
+    whole = np.bincount(doc * classes + best, letters, len(docs) * classes).reshape(len(docs), classes).argmax(1)[doc]
+    own = np.where(top > score[np.arange(len(doc)), whole] + PRIOR, best, whole)
+    first = np.r_[True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]
+    spot = np.cumsum(first) - 1
+    of_doc, sure = _totals(doc, len(docs), own, letters, score)
+    of_line, line_sure = _totals(spot, int(spot[-1]) + 1, own, letters, score)
+    lines: list[list[tuple[int, str, float]]] = [[] for _ in docs]
+    for d, n, k, c in zip(doc[first].tolist(), line[first].tolist(), of_line.tolist(), line_sure.tolist()):
+        lines[d].append((n, names[k], c))
+    for d, k, c, x in zip(docs.tolist(), of_doc.tolist(), sure.tolist(), lines):
+        out[d] = (names[k], c, x)
     return out
 
 
+def _folded_lines(text: str) -> list[str]:
+    return [x.strip(" ") for x in fold(text + "\n.").split("\n")][:-1]
+
+
 def label_languages(df: DataFrame, key: str, text: str, lang: str, model: LanguageModel) -> DataFrame:
     """`key`, `line_no`, `lang`, `confidence`, `stated`: line 0 is the document with the language of most
     letters of its sentences; lines from 1 follow for documents whose lines are in several languages, one

@@ -115,3 +115,16 @@ def test_fitting_sample_is_bounded(spark):
 def test_folding():
     assert fold("2025-10-19T00:20:00Z [74] They're 12 both  right.") == "they're 00 both right."
     assert fold("- [ ] 3. X") == "x" and sentences("a.rs `code` 123") != [] and sentences("== 12 ==") == []
+
+
+def test_long_sentences_are_scored_in_parts(model):
+    """A sentence longer than a lot has the sums of its parts; folding a text folds its lines."""
+    word = "старый дом стоял на холме и никто не знал "
+    assert classify(model, [word * 4000])[0][0] == "ru"
+    one, n = model.models.score([word * 10])
+    many, m = model.models.score([word * 10] * 3 + [""])
+    assert np.allclose(many[:3], one) and m.tolist()[:3] == [n[0]] * 3
+    text = "- [ ] Ab  cd e \r\n\n> 12. X​y 7\n\t"
+    from cairnwork.llm.langid import _folded_lines
+
+    assert _folded_lines(text) == [fold(x) for x in text.split("\n")]
