@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -372,19 +372,27 @@ def label_languages(df: DataFrame, key: str, text: str, lang: str, model: Langua
     shuffled but where the input has fewer partitions than cores, and no document is collected. The model travels as one broadcast, its size bounded by the fitting sample.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    kind = dict(df.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for pdf in batches:
-            for begin in range(0, len(pdf), 256):
-                part = pdf.iloc[begin : begin + 256]
-                rows = []
-                for k, label, (whole, sure, lines) in zip(part["_key"], part["_lang"], classify(own, part["_text"].tolist())):
-                    stated = label_code(label)
-                    rows.append((k, 0, whole, sure, stated))
+        known: dict[str | None, str | None] = {}
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                at, numbers, langs, sures, stated = [], [], [], [], []
+                for i, (label, (whole, sure, lines)) in enumerate(zip(part.column(2).to_pylist(), classify(own, part.column(1).to_pylist()))):
+                    if label not in known:
+                        if len(known) > 10_000:  # labels are few; what is not a label may be anything
+                            known.clear()
+                        known[label] = label_code(label)
+                    found = [(0, whole, sure)]
                     if len({x[1] for x in lines}) > 1:
-                        rows += [(k, n, x, c, stated) for n, x, c in lines]
-                yield pd.DataFrame(rows, columns=[key, "line_no", "lang", "confidence", "stated"])
+                        found += lines
+                    for n, x, c in found:
+                        at.append(i), numbers.append(n), langs.append(x), sures.append(c), stated.append(known[label])
+                columns = [part.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(langs, pa.string()), pa.array(sures, pa.float64()), pa.array(stated, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "line_no", "lang", "confidence", "stated"])
 
     chosen = spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")))
-    return chosen.mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, line_no int, lang string, confidence double, stated string")
+    return chosen.mapInArrow(run, f"`{key}` {kind}, line_no int, lang string, confidence double, stated string")
