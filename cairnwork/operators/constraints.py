@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.functions.quantity import comparable
+from cairnwork.session import materialise
 
 SATISFIED, VIOLATED, UNKNOWN = "SATISFIED", "VIOLATED", "UNKNOWN"
 
@@ -160,11 +161,12 @@ def evaluate(rules: Iterable[Rule], nodes: DataFrame, materialized: DataFrame |
     facts = parts[0]
     for p in parts[1:]:
         facts = facts.unionByName(p)
-    ranked = facts.withColumn("_rn", F.when((F.col("verdict") == VIOLATED) & F.col("fact").isNotNull(), F.row_number().over(W.partitionBy("rule", "verdict").orderBy(F.asc_nulls_last("fact")))))
-    return ranked.groupBy("rule").agg(
-        all_of(F.col("verdict")).alias("verdict"), F.count("fact").alias("n_facts"), F.count_if(F.col("verdict") == VIOLATED).alias("n_violations"), F.count_if(F.col("verdict") == UNKNOWN).alias("n_unknown"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_rn") <= examples, F.struct("_rn", "fact")))), lambda x: x["fact"]), ",").alias("counterexamples"),
-    )
+    facts = materialise(facts)
+    rank = F.row_number().over(W.partitionBy("rule").orderBy("fact"))  # filtered at once: no rule's violations are sorted whole
+    few = facts.where((F.col("verdict") == VIOLATED) & F.col("fact").isNotNull()).select("rule", "fact").withColumn("_rn", rank).where(F.col("_rn") <= examples)
+    listed = few.groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "fact"))), lambda x: x["fact"]), ",").alias("counterexamples"))
+    counted = facts.groupBy("rule").agg(all_of(F.col("verdict")).alias("verdict"), F.count("fact").alias("n_facts"), F.count_if(F.col("verdict") == VIOLATED).alias("n_violations"), F.count_if(F.col("verdict") == UNKNOWN).alias("n_unknown"))
+    return counted.join(listed, "rule", "left").withColumn("counterexamples", F.coalesce("counterexamples", F.lit("")))
 
 
 def interval_requirement(low: Column, high: Column, op: str, limit: Column | float) -> Column:

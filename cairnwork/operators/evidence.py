@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,13 +96,13 @@ def affected_units(changed: DataFrame, path: str, units: DataFrame, root: str, u
     return keys.join(units.select(F.rtrim(F.col(root), F.lit("/")).alias("_r"), unit).distinct(), "_r").groupBy(unit).agg(F.countDistinct(path).alias("n_files"))
 
 
-def waves(nodes: DataFrame, rests_on: DataFrame, max_waves: int = 1000) -> DataFrame:
+def waves(nodes: DataFrame, rests_on: DataFrame) -> DataFrame:
     """(node, wave): when each node can be done, everything it rests on (src rests on dst) being done in an earlier
     wave; null for nodes on or behind a cycle. A peel: each round takes out what waits for nothing."""
     left = materialise(nodes.select("node").distinct())
     edges = materialise(rests_on.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
     done = []
-    for wave in range(1, max_waves + 1):
+    for wave in count(1):
         ready = materialise(left.join(edges.select(F.col("src").alias("node")), "node", "left_anti").withColumn("wave", F.lit(wave)))
         if ready.isEmpty():
             break

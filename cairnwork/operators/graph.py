@@ -24,9 +24,10 @@ class FixedPoint:
     delta_remaining: int
 
 
-def fixed_point(seed: DataFrame, derive: Callable[[DataFrame], DataFrame], max_rounds: int) -> tuple[DataFrame, FixedPoint]:
+def fixed_point(seed: DataFrame, derive: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> tuple[DataFrame, FixedPoint]:
     """Semi-naive fixed point: `derive` sees only the tuples new in the last round; what it derives is joined
-    against all known tuples. Returns all tuples, those of an unfinished round included, and the record.
+    against all known tuples. Returns all tuples, those of an unfinished round included, and the record. Without
+    `max_rounds` it runs until nothing new is found.
 
     Tuples are whole rows; rows with nulls are compared null-safe. Repeated seeds count once. The known set
     is the union of the rounds' checkpoints, each written once.
@@ -51,14 +52,14 @@ def fixed_point(seed: DataFrame, derive: Callable[[DataFrame], DataFrame], max_r
     return known, FixedPoint(iterations, True, 0)
 
 
-def transitive_closure(edges: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, FixedPoint]:
+def transitive_closure(edges: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, FixedPoint]:
     """All pairs (src, dst) connected by one edge or more; cycles are fine."""
     pairs = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     steps = materialise(pairs).select(F.col("src").alias("_via"), F.col("dst").alias("_to"))
     return fixed_point(pairs, lambda d: d.join(steps, d["dst"] == F.col("_via")).select("src", F.col("_to").alias("dst")), max_rounds)
 
 
-def labelled_reach(edges: DataFrame, roots: DataFrame, blocked: Column | None = None, max_rounds: int = 1000) -> tuple[DataFrame, FixedPoint]:
+def labelled_reach(edges: DataFrame, roots: DataFrame, blocked: Column | None = None, max_rounds: int | None = None) -> tuple[DataFrame, FixedPoint]:
     """(node, label): every label of `roots` (node, label) spread along edges (src, dst and further columns).
     `blocked`, over the edge's columns and `label`, tells steps that a label may not take."""
     steps = materialise(edges)
@@ -110,16 +111,17 @@ def upstream(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None) -
 
 def impact_frontier(reached: DataFrame, group: str, nearest: int = 12) -> DataFrame:
     """For each `group`: how many nodes were reached, the least depth, the nearest few (depth, then name)
-    and how many those leave out. Lists stay bounded: nodes are ranked before they are collected."""
-    ranked = reached.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy("depth", "node")))
-    return ranked.groupBy(group).agg(
-        F.count("*").alias("n_nodes"), F.min("depth").alias("min_depth"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_rn") <= nearest, F.struct("_rn", "node")))), lambda x: x["node"].cast("string")), ",").alias("nearest"),
-        F.greatest(F.count("*") - nearest, F.lit(0)).alias("n_omitted"),
-    )
+    and how many those leave out. A ranking that is filtered at once keeps but the nearest few of each task, so no
+    group is sorted whole; the counts are an aggregation of their own."""
+    rank = F.row_number().over(W.partitionBy(group).orderBy("depth", "node"))
+    few = reached.select(group, "depth", "node").withColumn("_rn", rank).where(F.col("_rn") <= nearest)
+    listed = few.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "node"))), lambda x: x["node"].cast("string")), ",").alias("nearest")).alias("l")
+    counted = reached.groupBy(group).agg(F.count("*").alias("n_nodes"), F.min("depth").alias("min_depth")).alias("c")
+    both = counted.join(listed, F.col(f"c.{group}").eqNullSafe(F.col(f"l.{group}")))
+    return both.select("c.*", "l.nearest", F.greatest(F.col("n_nodes") - nearest, F.lit(0)).alias("n_omitted"))
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components, named by their greatest node.
 
     Colouring: the greatest node that reaches a node colours it; the nodes of a colour that reach its root
@@ -129,9 +131,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     live = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     nodes = materialise(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct())
     done: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if nodes.isEmpty():
-            break
+    while not nodes.isEmpty():
         ends = live.select(F.col("src").alias("node")).intersect(live.select(F.col("dst").alias("node")))
         lone = materialise(nodes.join(ends, "node", "left_anti").select("node", F.col("node").alias("component")))
         if not lone.isEmpty():
@@ -169,13 +169,13 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return parts.join(sizes, "component").join(loops, "node", "left").where("n_nodes > 1 or _loop").select("node", "component", "n_nodes")
 
 
-def weakest_link(nodes: DataFrame, rests_on: DataFrame, max_rounds: int = 16) -> tuple[DataFrame, FixedPoint]:
+def weakest_link(nodes: DataFrame, rests_on: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, FixedPoint]:
     """(node, effective): the least `strength` among a node (node, strength) and all it rests on (src rests on
-    dst). Each round sends on only what fell in the last; the record tells whether it converged."""
+    dst). Each round sends on only what fell in the last; the record tells whether it converged, which without `max_rounds` it always has."""
     edges = materialise(rests_on.select("src", "dst").distinct())
     state = materialise(nodes.select("node", F.col("strength").alias("effective")))
     delta, rounds = state, 0
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         offered = edges.join(delta, edges["dst"] == delta["node"]).groupBy(F.col("src").alias("node")).agg(F.min("effective").alias("_new"))
         delta = materialise(state.join(offered, "node").where("_new < effective").select("node", F.col("_new").alias("effective")))
         if delta.isEmpty():
@@ -185,27 +185,34 @@ def weakest_link(nodes: DataFrame, rests_on: DataFrame, max_rounds: int = 16) ->
     return state, FixedPoint(rounds, False, delta.count())
 
 
-def explode_quantities(lines: DataFrame, roots: DataFrame, max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+def explode_quantities(lines: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bill-of-material explosion: (root, item, quantity), quantities multiplied down and summed over all ways,
-    and (root, item) pairs where a way meets its own start again, which make the root's bill invalid.
-
-    `lines`: parent, item, quantity. A way is cut where it would close a cycle."""
-    steps = materialise(lines.select("parent", F.col("item").alias("_item"), F.col("quantity").cast("double").alias("_q")))
-    front = materialise(roots.select(F.col("node").alias("root"), F.col("node").alias("item"), F.lit(1.0).alias("quantity"), F.array("node").alias("_way")))
-    levels, cycles = [], []
-    for _ in range(max_depth):
-        step = materialise(front.join(steps, front["item"] == steps["parent"]).select("root", F.col("_item").alias("item"), (F.col("quantity") * F.col("_q")).alias("quantity"), "_way", F.array_contains("_way", F.col("_item")).alias("_cycle")))
-        cycles.append(step.where("_cycle").select("root", "item"))
-        front = step.where("not _cycle").select("root", "item", "quantity", F.array_append("_way", F.col("item")).alias("_way"))
+    and (root, item) pairs where a bill meets an item that is on a cycle. Such a bill is invalid: it has no finite
+    quantities, and none is given.
+
+    `lines`: parent, item, quantity. Ways to an item are summed at every level before they go on, so that a level
+    has one row for each root and item, however many ways there are. Items on cycles are found first and not
+    gone through, which leaves a graph without cycles: the levels end.
+    """
+    steps = materialise(lines.where("parent is not null and item is not null").groupBy("parent", F.col("item").alias("_item")).agg(F.sum(F.col("quantity").cast("double")).alias("_q")))
+    looped = materialise(cyclic_nodes(steps.select(F.col("parent").alias("src"), F.col("_item").alias("dst"))).select(F.col("node").alias("item"), F.lit(True).alias("_loop")))
+    start = roots.select(F.col("node").alias("root"), F.col("node").alias("item"), F.lit(1.0).alias("quantity")).distinct()
+    front = materialise(start.join(looped, "item", "left").select("root", "item", "quantity", "_loop"))
+    levels, met = [front.where("false").select("root", "item", "quantity")], [front.where("_loop").select("root", "item")]
+    while True:
+        ahead = front.where("_loop is null").join(steps, front["item"] == steps["parent"])
+        step = ahead.groupBy("root", F.col("_item").alias("item")).agg(F.sum(F.col("quantity") * F.col("_q")).alias("quantity"))
+        front = materialise(step.join(looped, "item", "left").select("root", "item", "quantity", "_loop"))
         if front.isEmpty():
             break
         levels.append(front.select("root", "item", "quantity"))
-    empty = front.select("root", "item", "quantity").limit(0)
-    total = reduce(DataFrame.unionByName, levels, empty).groupBy("root", "item").agg(F.sum("quantity").alias("quantity"))
-    return total, reduce(DataFrame.unionByName, cycles).distinct()
+        met.append(front.where("_loop").select("root", "item"))
+    cycles = materialise(reduce(DataFrame.unionByName, met).distinct())
+    total = reduce(DataFrame.unionByName, levels).groupBy("root", "item").agg(F.sum("quantity").alias("quantity"))
+    return total.join(cycles.select("root").distinct(), "root", "left_anti"), cycles
 
 
-def realizable_path(moves: DataFrame, origins: DataFrame, targets: DataFrame, max_depth: int = 1000) -> DataFrame:
+def realizable_path(moves: DataFrame, origins: DataFrame, targets: DataFrame) -> DataFrame:
     """The steps (step, src, kind, dst, evidence) of a shortest path along `moves` (src, dst, kind, move,
     evidence, inferred) that a value can take, and whether each step is inferred; no rows when there is none.
 
@@ -221,7 +228,7 @@ def realizable_path(moves: DataFrame, origins: DataFrame, targets: DataFrame, ma
     if not layer.join(goal, layer["node"] == goal["dst"], "left_semi").isEmpty():
         return empty
     trail: list[DataFrame] = []
-    for _ in range(max_depth):
+    while True:
         ahead = layer.join(edges, layer["node"] == edges["src"]).where("move <> 'return' or open")
         ahead = ahead.select("src", F.col("open").alias("was_open"), "kind", "evidence", "inferred", "dst", (F.col("move") != "descend").alias("open"))
         best = ahead.groupBy("dst", "open").agg(F.min(F.struct("src", "was_open", "kind", "evidence", "inferred")).alias("by"))
@@ -241,7 +248,6 @@ def realizable_path(moves: DataFrame, origins: DataFrame, targets: DataFrame, ma
             return reduce(DataFrame.unionByName, out)
         layer = fresh.select(F.col("dst").alias("node"), "open")
         seen = seen.unionByName(layer)
-    return empty
 
 
 def first_writer_nodes(facts: DataFrame, id_: str, order: Sequence[str]) -> DataFrame:

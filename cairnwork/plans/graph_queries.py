@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.functions.text import normal_form
+from cairnwork.operators import evidence as E
 from cairnwork.operators import graph as G
 from cairnwork.operators.versions import latest_version
 from cairnwork.plans.registry import query, sql_normal_form
@@ -76,7 +77,7 @@ def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weakest_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least strength among a node and all that it rests on."""
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"), ((F.col("n_nationkey") * 11 + 4) % 17).alias("strength"))
-    return G.weakest_link(nodes, ring(spark, sf_dir), 64)[0].select("node", F.col("effective").cast("int").alias("effective"))
+    return G.weakest_link(nodes, ring(spark, sf_dir))[0].select("node", F.col("effective").cast("int").alias("effective"))
 
 
 @query("""with recursive lines as (select p_brand parent, p_type || '/' || (p_size % 5) item, count(*)::double q from part group by all
@@ -106,12 +107,11 @@ aedge as (select id, {_NF("from_node")} src, {_NF("to_node")} dst, kind, evidenc
 
 
 @query(f"""with recursive {ARCH_SQL}, s as (select distinct dst as src, src as dst from aedge where src is not null and dst is not null and kind in ('calls', 'depends_on')),
-  r(node, depth) as (select node, 0 from anode where crate = 'vantor-core' union select s.dst, r.depth + 1 from r join s on s.src = r.node where r.depth < 6),
-  m as (select node, min(depth) depth from r group by 1) select node, depth from m where depth > 0""")
+  r(node, depth) using key (node) as (select distinct node, 0 from anode where crate = 'vantor-core' union select s.dst, min(r.depth) + 1 from r join s on s.src = r.node where s.dst not in (select node from recurring.r) group by s.dst)
+  select node, depth::int as depth from r where depth > 0""")
 def architecture_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What calls or depends on the nodes of one crate, up to six steps away, as the SQL has it;
-    `architecture_dependents_all` has them all."""
-    return G.bfs_depth(*dependent_steps(spark, sf_dir), 6)
+    """All that calls or depends on the nodes of one crate, however far away."""
+    return G.bfs_depth(*dependent_steps(spark, sf_dir))
 
 
 def dependent_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -121,23 +121,13 @@ def dependent_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return back, nodes.where("crate = 'vantor-core'").select("node")
 
 
-@query()
-def architecture_dependents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that calls or depends on the nodes of one crate, however far away."""
-    return G.bfs_depth(*dependent_steps(spark, sf_dir))
-
-
-@query(f"""with recursive {ARCH_SQL}, s as (select distinct dst as src, src as dst, case kind when 'calls' then null when 'owns' then 'ENCLOSES' else 'DISPATCHES_TO' end why from aedge where src is not null and dst is not null and kind in ('calls', 'owns', 'guards')),
-  seed as (select node from anode where crate = 'vantor-core'),
-  d(node, depth) as (select node, 0 from seed union select s.dst, d.depth + 1 from d join s on s.src = d.node where d.depth < 3),
-  m as (select node, min(depth) depth from d group by 1),
-  w1 as (select s.dst node, min(case when why is null then 0 when why = 'ENCLOSES' then 1 else 2 end) k from s join m on m.node = s.src and m.depth = 0 join m t on t.node = s.dst and t.depth = 1 group by 1),
-  w2 as (select s.dst node, min(case when w1.k > 0 then w1.k when why is null then 0 when why = 'ENCLOSES' then 1 else 2 end) k from s join w1 on w1.node = s.src join m t on t.node = s.dst and t.depth = 2 group by 1),
-  w3 as (select s.dst node, min(case when w2.k > 0 then w2.k when why is null then 0 when why = 'ENCLOSES' then 1 else 2 end) k from s join w2 on w2.node = s.src join m t on t.node = s.dst and t.depth = 3 group by 1)
-  select node, depth, case k when 1 then 'ENCLOSES' when 2 then 'DISPATCHES_TO' end as reason from (select *, 1 as depth from w1 union all select *, 2 from w2 union all select *, 3 from w3)""")
+@query(f"""with recursive {ARCH_SQL}, s as (select distinct dst as src, src as dst, case kind when 'calls' then 0 when 'owns' then 1 else 2 end w from aedge where src is not null and dst is not null and kind in ('calls', 'owns', 'guards')),
+  r(node, depth, k) using key (node) as (select distinct node, 0, 0 from anode where crate = 'vantor-core'
+    union select s.dst, min(r.depth) + 1, min(case when r.k > 0 then r.k else s.w end) from r join s on s.src = r.node where s.dst not in (select node from recurring.r) group by s.dst)
+  select node, depth::int as depth, case k when 1 then 'ENCLOSES' when 2 then 'DISPATCHES_TO' end as reason from r where depth > 0""")
 def architecture_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependents up to three steps away, as the SQL has it; `architecture_upstream_all` has them all."""
-    return G.upstream(*upstream_steps(spark, sf_dir), 3)
+    """All dependents over resolved and inferred steps, with the first inferred step of the way."""
+    return G.upstream(*upstream_steps(spark, sf_dir))
 
 
 def upstream_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -148,12 +138,6 @@ def upstream_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return steps, nodes.where("crate = 'vantor-core'").select("node")
 
 
-@query()
-def architecture_upstream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All dependents over resolved and inferred steps, with the first inferred step of the way."""
-    return G.upstream(*upstream_steps(spark, sf_dir))
-
-
 def trace_moves(edges: DataFrame) -> DataFrame:
     """Moves of a trace: calls and ownership descend, reads return a value, writes flow through state."""
     move = F.when(F.col("kind").isin("calls", "owns"), "descend").when(F.col("kind") == "reads", "return").when(F.col("kind") == "writes", "state")
@@ -181,3 +165,57 @@ def hub_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = materialise(architecture(spark, sf_dir)[1].where("src is not null and dst is not null"))
     hub = edges.groupBy("dst").count().orderBy(F.desc("count"), "dst").first()
     return G.neighbours(edges, hub["dst"] if hub else "")
+
+
+def rests_on(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges src, dst): what calls, depends on or owns what, between nodes that are there."""
+    nodes, edges = architecture(spark, sf_dir)
+    nodes = materialise(nodes)
+    known = nodes.select("node")
+    edges = edges.where("kind in ('calls', 'depends_on', 'owns')").select("src", "dst").distinct()
+    edges = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return nodes, materialise(edges)
+
+
+_RESTS = f"""{ARCH_SQL}, e as (select distinct src, dst from aedge where kind in ('calls', 'depends_on', 'owns') and src in (select node from anode) and dst in (select node from anode)), c(src, dst) as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src)"""
+_PARTS = f"{_RESTS}, l as (select n.node, greatest(n.node, coalesce(max(a.dst), n.node)) as component from (select src node from e union select dst from e) n left join (select a.* from c a join c b on b.src = a.dst and b.dst = a.src) a on a.src = n.node group by 1)"
+
+
+@query(f"with recursive {_PARTS} select node, component from l")
+def architecture_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly connected components of the whole architecture."""
+    return G.strong_components(rests_on(spark, sf_dir)[1])
+
+
+@query(f"with recursive {_PARTS} select node, component, n_nodes from (select *, count(*) over (partition by component) n_nodes from l) where n_nodes > 1 or node in (select src from e where src = dst)")
+def architecture_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.cyclic_nodes(rests_on(spark, sf_dir)[1])
+
+
+_STRENGTH = "case status when 'verified' then 3 when 'implemented' then 2 when 'planned' then 1 else 0 end"
+
+
+@query(f"with recursive {_RESTS}, s as (select node, {_STRENGTH} k from anode) select s.node, least(s.k, coalesce(w.k, s.k))::int as effective from s left join (select c.src node, min(t.k) k from c join s t on t.node = c.dst group by 1) w using (node)")
+def architecture_weakest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least standing among a node and all that it rests on, directly or not."""
+    nodes, edges = rests_on(spark, sf_dir)
+    return G.weakest_link(nodes.select("node", F.expr(_STRENGTH).alias("strength")), edges)[0]
+
+
+@query(f"with recursive {ARCH_SQL}, e as (select distinct dst as src, src as dst, kind from aedge where src is not null and dst is not null and kind in ('calls', 'depends_on')), c(label, node) as (select distinct crate, node from anode where crate is not null union select c.label, e.dst from c join e on c.node = e.src where not (e.kind = 'depends_on' and c.label like '%-cli')) select node, label from c")
+def architecture_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which crates stand behind a node: labels of crates spread to what calls or depends on their nodes; the label of
+    a command line does not go over dependencies."""
+    nodes, edges = architecture(spark, sf_dir)
+    back = edges.where("kind in ('calls', 'depends_on')").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind").where("src is not null and dst is not null").distinct()
+    roots = nodes.where("crate is not null").select("node", F.col("crate").alias("label"))
+    return G.labelled_reach(back, roots, (F.col("kind") == "depends_on") & F.col("label").endswith("-cli"))[0]
+
+
+@query(f"""with recursive {_RESTS}, bad as (select src node from c where src = dst union select c.src from c where c.dst in (select src from c where src = dst)),
+  w(node, wave) as (select node, 1 from anode where node not in (select src from e) union select e.src, w.wave + 1 from w join e on e.dst = w.node where e.src not in (select node from bad))
+  select a.node, max(w.wave)::int as wave from anode a left join w using (node) group by 1""")
+def architecture_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which wave each node can be done; null on and behind cycles."""
+    nodes, edges = rests_on(spark, sf_dir)
+    return E.waves(nodes, edges)

@@ -91,9 +91,11 @@ def file_census_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("_one", F.lit(1)).join(loose.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-@query(f"with {S.FILE_SQL} select file_id, donor, path, kind from fil where read_status = 'unread_pending' order by donor, path, file_id limit 100")
+@query(f"with {S.FILE_SQL} select file_id, donor, path, kind from fil where read_status = 'unread_pending' or suffix(classification, 'review_pending') order by donor, path, file_id limit 100")
 def file_census_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.files(spark, sf_dir, "donor", "path", "kind", "read_status").where("read_status = 'unread_pending'").orderBy("donor", "path", "file_id").limit(100).select("file_id", "donor", "path", "kind")
+    """Files that are still to be read, or whose review is pending."""
+    pending = (F.col("read_status") == "unread_pending") | F.col("classification").endswith("review_pending")
+    return S.files(spark, sf_dir, "donor", "path", "kind", "read_status", "classification").where(pending).orderBy("donor", "path", "file_id").limit(100).select("file_id", "donor", "path", "kind")
 
 
 @query(f"with {S.FILE_SQL} select donor, count(*) filter (kind = 'source') as source, count(*) filter (kind = 'test') as test, count(*) filter (kind = 'documentation') as documentation, count(*) filter (kind = 'asset') as asset from fil group by 1")
@@ -125,9 +127,11 @@ def target_crate_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = S.architecture(spark, sf_dir)
     known = broadcast_if_small(nodes.where("kind = 'crate' and crate is not null").select(F.lower("crate").alias("target_crate")).distinct().withColumn("_known", F.lit(True)))
     rows = S.capabilities(spark, sf_dir, "domain", "side_effect_class", "moves_money", "target_crate", "status", "blocker").join(known, "target_crate", "left").withColumn("target_crate", F.coalesce("target_crate", F.lit("<none>")))
-    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy("target_crate").orderBy("cap_key")))
-    some = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_rn") <= 5, F.struct("_rn", "cap_key")))), lambda x: x["cap_key"]), ",")
-    return ranked.groupBy("target_crate").agg(F.coalesce(F.bool_or("_known"), F.lit(False)).alias("known"), n(), F.count_if(F.col("status") == "verified").alias("n_verified"), F.count_if(F.col("status") == "blocked").alias("n_blocked"), F.count_if(money()).alias("n_money"), some.alias("examples"))
+    rows = cached(rows)
+    few = rows.select("target_crate", "cap_key", F.row_number().over(W.partitionBy("target_crate").orderBy("cap_key")).alias("_rn")).where("_rn <= 5")
+    some = few.groupBy("target_crate").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "cap_key"))), lambda x: x["cap_key"]), ",").alias("examples"))
+    counted = rows.groupBy("target_crate").agg(F.coalesce(F.bool_or("_known"), F.lit(False)).alias("known"), n(), F.count_if(F.col("status") == "verified").alias("n_verified"), F.count_if(F.col("status") == "blocked").alias("n_blocked"), F.count_if(money()).alias("n_money"))
+    return counted.join(some, "target_crate")
 
 
 _SECTIONS = ("status", "domain", "side_effect_class", "target_crate", "blocker")

@@ -26,6 +26,9 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if (there := sc.getCheckpointDir()) is not None:
         return there
+    conf = sc._jsc.sc().conf()
+    if not conf.contains("spark.cleaner.referenceTracking.cleanCheckpoints"):
+        conf.set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # files go with the frames that need them
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
@@ -37,9 +40,16 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: the files lie in the shared folder, so that a lost
-    executor costs nothing but its running tasks."""
+    executor costs nothing but its running tasks.
+
+    A checkpointed frame would keep the size that was estimated for the plan it came from. In a loop each round's
+    joins multiply the sizes of the round before, into numbers of ever more digits that in the end take
+    longer to plan with than the data take to join. So the size is forgotten, and runtime statistics decide.
+    """
     use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark, done = df.sparkSession, df.checkpoint(eager=True)
+    plain = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(plain, spark)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def test_upstream_has_no_bound(spark, tmp_path):
     weigh = {"calls": 0, "owns": 1, "guards": 2}
     want = layers(*deep_tables(spark, tmp_path, list(weigh)), weigh)
     assert max(d for d, _ in want.values()) > CHAIN
-    got = Q.architecture_upstream_all(spark, str(tmp_path)).collect()
+    got = Q.architecture_upstream(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(((n, d, [None, "ENCLOSES", "DISPATCHES_TO"][w]) for n, (d, w) in want.items()), key=repr)
 
 
@@ -40,5 +40,5 @@ def test_dependents_have_no_bound(spark, tmp_path):
     weigh = {"calls": 0, "depends_on": 0}
     want = layers(*deep_tables(spark, tmp_path, list(weigh)), weigh)
     assert max(d for d, _ in want.values()) > CHAIN
-    got = Q.architecture_dependents_all(spark, str(tmp_path)).collect()
+    got = Q.architecture_dependents(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted((n, d) for n, (d, _) in want.items())

@@ -59,10 +59,13 @@ def test_weakest_link_and_explosion(spark):
     state, record = G.weakest_link(nodes, frame(spark, [(0, 1), (1, 2), (2, 0), (3, 4)]))
     assert dict(state.collect()) == {0: 8, 1: 8, 2: 8, 3: 6, 4: 6} and record.converged
     assert not G.weakest_link(nodes, frame(spark, [(0, 1), (1, 2), (2, 3), (3, 4)]), max_rounds=2)[1].converged
-    lines = spark.createDataFrame([("p", "a", 2.0), ("p", "b", 1.0), ("a", "b", 3.0), ("b", "c", 4.0), ("c", "a", 1.0)], "parent string, item string, quantity double")
-    total, cycles = G.explode_quantities(lines, spark.createDataFrame([("p",), ("x",)], "node string"))
+    lines = spark.createDataFrame([("p", "a", 2.0), ("p", "b", 1.0), ("a", "b", 3.0), ("b", "c", 4.0), ("q", "a", 1.0), ("q", "x", 1.0), ("x", "y", 1.0), ("y", "x", 1.0)], "parent string, item string, quantity double")
+    total, cycles = G.explode_quantities(lines, spark.createDataFrame([("p",), ("q",), ("lone",)], "node string"))
     got = {(r["root"], r["item"]): r["quantity"] for r in total.collect()}
-    assert got == {("p", "a"): 6.0, ("p", "b"): 7.0, ("p", "c"): 28.0} and {tuple(r) for r in cycles.collect()} == {("p", "a"), ("p", "b")}
+    assert got == {("p", "a"): 2.0, ("p", "b"): 7.0, ("p", "c"): 28.0} and {tuple(r) for r in cycles.collect()} == {("q", "x")}
+    diamonds = [(f"n{i}", f"{s}{i}", 1.0) for i in range(9) for s in "ab"] + [(f"{s}{i}", f"n{i + 1}", 1.0) for i in range(9) for s in "ab"]
+    deep = spark.createDataFrame(diamonds, "parent string, item string, quantity double")  # each level doubles the ways
+    assert G.explode_quantities(deep, spark.createDataFrame([("n0",)], "node string"))[0].where("item = 'a8'").first()["quantity"] == 256.0
 
 
 def test_realizable_paths(spark):
