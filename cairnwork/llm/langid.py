@@ -54,14 +54,14 @@ _MASK = re.compile(
 )
 _MASKED = re.compile(r"[`/_0:]")  # without one of these, a folded text has nothing to mask
 _TIME = re.compile(r"\d{4}-\d\d-\d\d[T ][\d:.]+Z?")
-_HEAD = re.compile(r"^[ >#*•\-–+|]*(?:\[[ xX]?\] *)?(?:\d+[.)] +)?(?:\[\d+\] *)?", re.M)
+_HEAD = re.compile(r"[ >#*•\-–+|]*(?:\[[ x]?\] *)?(?:0+[.)] +)?(?:\[0+\] *)?")
+_HEADED = frozenset(" >#*•-–+|[0")
 _STOP = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|(?<=[。！？])")
+_STOPS = re.compile(r"[.!?…。！？]")  # without one of these before its last character, a line has no inner end
 #: A line that teaches a language ends as a sentence does.
 _ENDED = re.compile(r"[.!?…。！？][\"')\]]*$")
-#: White space other than one blank.
-_GAPS = re.compile("(?:[^\\S\n ]|[\u200b\ufeff])(?:[^\\S\n]|[\u200b\ufeff])*| (?:[^\\S\n]|[\u200b\ufeff])+")
-_DIGITS = re.compile(r"\d")
-_ZEROS = dict.fromkeys(range(48, 58), "0")
+_DIGITS = "123456789" + "".join(chr(0xFF10 + d) for d in range(10))  # and those of full width
+_ZERO_WIDTH = "\u200b\ufeff"
 #: Longest text that is scored in one; a longer sentence is scored in parts. Characters scored at once.
 PART, AT_ONCE = 1 << 16, 1 << 20
 
@@ -75,18 +75,37 @@ def label_code(label: str | None) -> str | None:
     return _KNOWN.get(m.group(1)) if m else None
 
 
-def fold(text: str) -> str:
-    """A text as the models see it, line by line: composed, no list marks, times or numbers, white space folded,
+def folded_lines(text: str) -> list[str]:
+    """The lines of a text as the models see them: composed, no list marks, times or numbers, white space folded,
     lower case."""
-    body = _HEAD.sub("", _GAPS.sub(" ", _TIME.sub(" ", unicodedata.normalize("NFC", text))))
-    body = body.lower()
-    return (body.translate(_ZEROS) if body.isascii() else _DIGITS.sub("0", body)).strip(" ")
+    whole = unicodedata.normalize("NFC", text)
+    if "-" in whole and ":" in whole:
+        whole = _TIME.sub(" ", whole)
+    whole = whole.lower()
+    for d in _DIGITS if not whole.isascii() else "123456789":
+        if d in whole:
+            whole = whole.replace(d, "0")
+    for z in _ZERO_WIDTH:
+        if z in whole:
+            whole = whole.replace(z, " ")
+    out = []
+    for line in whole.split("\n"):
+        line = " ".join(line.split())
+        if line and line[0] in _HEADED:
+            line = line[_HEAD.match(line).end() :]
+        out.append(line)
+    return out
+
+
+def fold(line: str) -> str:
+    """One line as the models see it."""
+    return " ".join(folded_lines(line))
 
 
 def sentences(line: str) -> list[tuple[str, int]]:
     """(text, letters) of the sentences of a folded line that has letters besides masked ones."""
     out: list[tuple[str, int]] = []
-    for part in _STOP.split(line):
+    for part in _STOP.split(line) if _STOPS.search(line, 0, len(line) - 1) or line[-1:] in "。！？" else (line,):
         letters = sum(map(str.isalpha, _MASK.sub("", part) if _MASKED.search(part) else part))
         if not letters:
             continue
@@ -124,6 +143,33 @@ def _codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return codes, place >= order, owner
 
 
+class HashArray:
+    """A sorted array of hashes with the places at which each value of their leading bits begins, so that a search
+    begins next to where it ends."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.size = len(keys)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each wanted hash, and whether it is there."""
+        at = self.first[wanted >> self.shift]
+        held = self.keys[at]
+        open_ = np.flatnonzero(held < wanted)
+        while len(open_):
+            at[open_] += 1
+            held[open_] = again = self.keys[at[open_]]
+            open_ = open_[again < wanted[open_]]
+        there = held == wanted
+        return at, there & (at < self.size)
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -190,6 +236,7 @@ class KneserNey:
             lower = p
             self.grams.append(grams), self.logp.append(np.log(p).astype(np.float32))
             self.contexts.append(contexts), self.logw.append(np.log(w).astype(np.float32))
+        self.places = [(HashArray(g), HashArray(c)) for g, c in zip(self.grams, self.contexts)]
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each text in each class, and its number of characters. Texts are taken in lots, and long
@@ -217,10 +264,10 @@ class KneserNey:
         at = np.flatnonzero(counts_here)
         sums = np.zeros((len(texts), classes))
         for n in range(self.order, 0, -1):
-            row, ok = _find(self.grams[n], h[n][at])
+            row, ok = self.places[n][0].find(h[n][at])
             self._add(sums, owner[at[ok]], self.logp[n][row[ok]])
             at = at[~ok]
-            row, ok = _find(self.contexts[n], h[n - 1][at - 1])
+            row, ok = self.places[n][1].find(h[n - 1][at - 1])
             self._add(sums, owner[at[ok]], self.logw[n][row[ok]])
         self._add(sums, owner[at], np.full((len(at), classes), self.floor, np.float32))
         np.add.at(sums_of, whose, sums)
@@ -320,7 +367,7 @@ def classify(model: LanguageModel, texts: list[str | None]) -> list[tuple[str |
     of: list[tuple[int, int, int, int]] = []
     for d, text in enumerate(texts):
         if text:
-            for n, line in enumerate(fold(text).split("\n") if "\n" not in text else _folded_lines(text), 1):
+            for n, line in enumerate(folded_lines(text), 1):
                 if line:
                     for t, letters in sentences(line):
                         of.append((d, n, letters, distinct.setdefault(t, len(distinct))))
@@ -358,9 +405,6 @@ def classify(model: LanguageModel, texts: list[str | None]) -> list[tuple[str |
     return out
 
 
-def _folded_lines(text: str) -> list[str]:
-    return [x.strip(" ") for x in fold(text + "\n.").split("\n")][:-1]
-
 
 def label_languages(df: DataFrame, key: str, text: str, lang: str, model: LanguageModel) -> DataFrame:
     """`key`, `line_no`, `lang`, `confidence`, `stated`: line 0 is the document with the language of most

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cairnwork.llm.langid import CODE, KneserNey, classify, fit, fitting_lines, fold, label_code, label_languages, sentences
+from cairnwork.llm.langid import CODE, HashArray, KneserNey, classify, fit, fitting_lines, fold, folded_lines, label_code, label_languages, sentences
 
 WORDS = {
     "en": "the old house was on a hill and nobody knew who had built it before they went there with their horses".split(),
@@ -125,6 +125,13 @@ def test_long_sentences_are_scored_in_parts(model):
     many, m = model.models.score([word * 10] * 3 + [""])
     assert np.allclose(many[:3], one) and m.tolist()[:3] == [n[0]] * 3
     text = "- [ ] Ab  cd e \r\n\n> 12. X​y 7\n\t"
-    from cairnwork.llm.langid import _folded_lines
+    assert folded_lines(text) == [fold(x) for x in text.split("\n")] == ["ab cd e", "", "x y 0", ""]
 
-    assert _folded_lines(text) == [fold(x) for x in text.split("\n")]
+
+def test_places_of_hashes():
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        wanted = np.concatenate([keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        at, there = HashArray(keys).find(wanted)
+        assert there.tolist() == np.isin(wanted, keys).tolist() and (keys[at[there]] == wanted[there]).all()
