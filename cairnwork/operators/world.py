@@ -285,6 +285,31 @@ def plan(world: World, scope: Scope) -> DataFrame:
     return J.union_all([keep, again, clear])
 
 
+def invariant_delta(before: World, after: World, authority: Sequence[str]) -> DataFrame:
+    """(section, item): what a change did to the invariants (`broken`: in conflict and was not, or new in conflict;
+    `dropped`; `weakened` and `strengthened` by their standing; `new`), which subsystems have effects of the
+    categories `authority` that they had not, and dependencies whose verdict is another. The change has
+    regressed when anything is broken or dropped."""
+    of = lambda w: w.invariants.groupBy("id").agg(F.min(R.rank(R.STRENGTH, F.col("status"))).alias("k"), F.bool_or(F.col("status") == "CONFLICT").alias("c"))
+    b, a = of(before).select("id", F.col("k").alias("kb"), F.col("c").alias("cb")), of(after).select("id", F.col("k").alias("ka"), F.col("c").alias("ca"))
+    both = b.join(a, "id", "full_outer")
+    section = F.when(F.col("ka").isNull(), "dropped").when(F.col("ca") & ~F.coalesce("cb", F.lit(False)), "broken").when(F.col("kb").isNull(), "new").when(F.col("ka") > F.col("kb"), "weakened").when(F.col("ka") < F.col("kb"), "strengthened")
+    changes = both.select(section.alias("section"), F.col("id").alias("item")).where("section is not null")
+    held = lambda w: w.effects.where(F.col("category").isin(*authority)).join(w.functions.select(F.col("id").alias("function"), "subsystem"), "function").where("subsystem is not null").select(F.concat_ws(": ", "subsystem", "category").alias("item")).distinct()
+    gained = held(after).join(held(before), "item", "left_anti").select(F.lit("new_authority").alias("section"), "item")
+    x, y = (w.dependencies.select("src", "dst", F.col("verdict").alias(n)) for w, n in ((before, "vb"), (after, "va")))
+    moved = x.join(y, ["src", "dst"], "full_outer").where("not (vb <=> va)").select(F.lit("dependency").alias("section"), F.concat(F.col("src"), F.lit("->"), F.col("dst"), F.lit(": "), F.coalesce("vb", F.lit("absent")), F.lit(" -> "), F.coalesce("va", F.lit("removed"))).alias("item"))
+    return J.union_all([changes, gained, moved])
+
+
+def capabilities(provided: DataFrame, consumed: DataFrame, scope: Scope) -> DataFrame:
+    """(capability, n_providers, n_consumers) of capabilities that a subsystem in scope provides or consumes;
+    `provided` and `consumed` have capability and subsystem."""
+    sides = provided.select("capability", "subsystem", F.lit(True).alias("_p")).unionByName(consumed.select("capability", "subsystem", F.lit(False).alias("_p"))).distinct()
+    mine = sides.join(scope.subsystems.select(F.col("name").alias("subsystem")), "subsystem", "left_semi").select("capability").distinct()
+    return sides.join(mine, "capability", "left_semi").groupBy("capability").agg(F.count_if("_p").alias("n_providers"), F.count_if(~F.col("_p")).alias("n_consumers"))
+
+
 def impact_closure(before: World, after: World, changed: DataFrame) -> DataFrame:
     """(function, rule): functions that a change of the files `changed` (path) may affect, with the first rule that
     says so: R1 defined in a changed file, before or after; R2 called by one of these; R3 caller of one that is

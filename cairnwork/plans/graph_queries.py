@@ -92,9 +92,12 @@ def bom_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.explode_quantities(lines, part.select(F.col("p_brand").alias("node")).distinct())[0]
 
 
-def architecture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the architecture, of versions that count: nodes not deleted; edges src, dst, kind."""
+def architecture(spark: SparkSession, sf_dir: str, until: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the architecture, of versions that count (`until`: that counted at that time): nodes not
+    deleted; edges src, dst, kind."""
     n, e = table(spark, sf_dir, "architecture_node"), table(spark, sf_dir, "architecture_edge")
+    if until is not None:
+        n, e = (t.where(F.col("synced_at") <= F.lit(until).cast("timestamp_ntz")) for t in (n, e))
     fields = ["kind", "crate", "module_path", "file_path", "status", "deleted_at"]
     nodes = latest_version(n.select(normal_form(F.col("id")).alias("node"), "synced_at", *fields), ["node"], "synced_at", fields).where("deleted_at is null").drop("deleted_at")
     rows = latest_version(e.select("id", "synced_at", normal_form(F.col("from_node")).alias("src"), normal_form(F.col("to_node")).alias("dst"), "kind", "evidence_ref"), ["id"], "synced_at", ["src", "dst", "kind", "evidence_ref"])
@@ -102,8 +105,16 @@ def architecture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 _NF = sql_normal_form
-ARCH_SQL = f"""anode as (select node, kind, crate, module_path, file_path, status from (select *, {_NF("id")} node from architecture_node qualify row_number() over (partition by {_NF("id")} order by synced_at desc) = 1) where deleted_at is null and node is not null),
-aedge as (select id, {_NF("from_node")} src, {_NF("to_node")} dst, kind, evidence_ref from (select * from architecture_edge qualify row_number() over (partition by id order by synced_at desc) = 1))"""
+
+
+def arch_sql(mark: str = "", until: str | None = None) -> str:
+    """The architecture as SQL, tables anode and aedge with a mark after their names."""
+    then = f" where synced_at <= timestamp '{until}'" if until else ""
+    return f"""anode{mark} as (select node, kind, crate, module_path, file_path, status from (select *, {_NF("id")} node from architecture_node{then} qualify row_number() over (partition by {_NF("id")} order by synced_at desc) = 1) where deleted_at is null and node is not null),
+aedge{mark} as (select id, {_NF("from_node")} src, {_NF("to_node")} dst, kind, evidence_ref from (select * from architecture_edge{then} qualify row_number() over (partition by id order by synced_at desc) = 1))"""
+
+
+ARCH_SQL = arch_sql()
 
 
 @query(f"""with recursive {ARCH_SQL}, s as (select distinct dst as src, src as dst from aedge where src is not null and dst is not null and kind in ('calls', 'depends_on')),

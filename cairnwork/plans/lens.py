@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from cairnwork.operators import constraints as C
 from cairnwork.operators import world as L
 from cairnwork.plans import relational as P
+from cairnwork.plans import evidence_queries  # noqa: F401 (its queries are used by name)
 from cairnwork.plans import store as S
-from cairnwork.plans.registry import query
+from cairnwork.plans.graph_queries import arch_sql
+from cairnwork.plans.registry import ORACLES, QUERIES, query
 from cairnwork.session import materialise
 
 
-def architecture_world(spark: SparkSession, sf_dir: str, dependencies: bool = False) -> L.World:
+def architecture_world(spark: SparkSession, sf_dir: str, dependencies: bool = False, until: str | None = None) -> L.World:
     """Nodes are functions, files components, crates subsystems. Calls invoke, and supply data; reads and writes
     touch the state of the node they lead to; what owns encloses, what guards dispatches. Dependencies between
     crates, and the invariants that follow, are composed only for questions that need them."""
-    nodes, edges = S.architecture(spark, sf_dir)
+    nodes, edges = S.architecture(spark, sf_dir, until)
     nodes, edges = materialise(nodes), materialise(edges.where("src is not null and dst is not null"))
     sub = F.lower(F.trim("crate"))
     missing = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti").where("kind = 'calls'")
@@ -41,6 +43,8 @@ def architecture_world(spark: SparkSession, sf_dir: str, dependencies: bool = Fa
     return L.World(functions, relations, effects, state, coverage, materialise(deps), materialise(invariants.unionByName(writers)), spelled)
 
 
+#: The time at which the world before a change is seen.
+BEFORE = "2025-07-01"
 _A, _B = "subsystem:vantor-core", "subsystem:vantor-ledger"
 
 _W = f"""{S.ARCH}, fn as (select node id, lower(trim(crate)) subsystem, file_path, status, kind from anode), kn as (select e.* from aedge e where src in (select id from fn) and dst in (select id from fn)),
@@ -90,63 +94,90 @@ def lens_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.explain(w, L.resolve(w, _A))
 
 
-def _rows_only(name: str):  # noqa: ANN202
+_REL = """rel as (select distinct kind, move, src, dst from (select 'INVOKES' as kind, 'descend' as move, src, dst from kn where kind = 'calls' union all select 'SUPPLIES_DATA', 'descend', src, dst from kn where kind = 'calls' and evidence_ref is not null
+  union all select 'SUPPLIES_DATA', 'return', dst, src from kn where kind = 'calls' and id % 2 = 0 union all select 'ENCLOSES', 'descend', src, dst from kn where kind = 'owns' and src <> dst union all select 'DISPATCHES_TO', 'descend', src, dst from kn where kind = 'guards' and src <> dst))"""
+_DEPS = ORACLES["reconcile_three_way"]
+_INV = f"""dep as ({_DEPS}), inv as (select 'INV-DEPENDENCY:' || src || ':' || dst as id, 'DEPENDENCY' as kind, 'DERIVED' as status, src, dst, null::varchar as f from dep where verdict = 'CONFIRMED' union all select 'INV-STATE:' || k, 'STATE', 'INFERRED', null, null, f from st where kind = 'writes')"""
+_BORNE = "select distinct id, kind, status from inv where f in (from sa) or (kind = 'DEPENDENCY' and (src = 'vantor-core' or dst = 'vantor-core'))"
+
+
+def _affected(seeds: str) -> str:
+    """What a change of the seeds reaches, as SQL."""
+    return f"""seed as ({seeds}), up(node, depth) using key (node) as (select distinct id, 0 from seed union select kn.src, min(up.depth) + 1 from up join kn on kn.kind = 'calls' and kn.dst = up.node where kn.src not in (select node from recurring.up) group by kn.src),
+  hit as (select 'component' as section, coalesce(fn.file_path, '-') as item, count(*) as n from up join fn on fn.id = up.node where depth > 0 group by 2
+    union all select 'state_readers', k, count(distinct f) from st where kind = 'reads' and f not in (from seed) and k in (select k from st where kind = 'writes' and f in (from seed)) group by 2)"""
+
+
+_UNKNOWN = "select dimension from (select upper(kind) as dimension, count(*) filter (status = 'planned') n from fn where file_path in (select file_path from fn where subsystem = 'vantor-core') group by 1 union all select '(calls)', count(*) from aedge where kind = 'calls' and src in (from sa) and dst is not null and dst not in (select id from fn)) where n > 0"
+
+
+def _named(name: str, sql: str | None = None):  # noqa: ANN202
     def decorate(f):  # noqa: ANN001, ANN202
         f.__name__ = name
-        return query()(f)
+        return query(sql)(f)
 
     return decorate
 
 
-@_rows_only("lens_dependencies")
+
+
+@_named("lens_dependencies", f"select distinct * from ({_DEPS}) where src = 'vantor-core' or dst = 'vantor-core'")
 def lens_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = architecture_world(spark, sf_dir, True)
     return L.dependencies(w, L.resolve(w, _A))
 
 
-@_rows_only("lens_why")
+@_named("lens_why", f"""with {_W}, {_REL}, {_INV} select 'relation' as section, src, dst, kind as detail from rel where (src in (from sa) and dst in (from sb)) or (src in (from sb) and dst in (from sa))
+  union all select 'dependency', src, dst, verdict from dep where (src = 'vantor-core' and dst = 'vantor-ledger') or (src = 'vantor-ledger' and dst = 'vantor-core')
+  union all select distinct 'invariant', null, null, id from inv where kind = 'DEPENDENCY' and 'vantor-core' in (src, dst) and 'vantor-ledger' in (src, dst)""")
 def lens_why(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = architecture_world(spark, sf_dir, True)
     return L.why(w, L.resolve(w, _A), L.resolve(w, _B))
 
 
-@_rows_only("lens_frontier")
+@_named("lens_frontier", f"""with recursive {_W}, {_REL}, nm as (select id, regexp_extract(id, ':([^#]*)', 1) as name from fn), one as (select name, min(id) id from nm group by 1 having count(*) = 1),
+  s as (select distinct dst src, src dst, case kind when 'INVOKES' then 0 when 'ENCLOSES' then 1 else 2 end w from rel where kind in ('INVOKES', 'ENCLOSES', 'DISPATCHES_TO')
+    union select one.id, e.src, 3 from aedge e join one on one.name = regexp_extract(e.dst, ':([^#]*)', 1) where e.kind = 'calls' and e.src is not null and e.dst is not null and e.dst not in (select id from fn)),
+  r(node, depth, k) using key (node) as (select distinct id, 0, 0 from sa union select s.dst, min(r.depth) + 1, min(case when r.k > 0 then r.k else s.w end) from r join s on s.src = r.node where s.dst not in (select node from recurring.r) group by s.dst),
+  z as (select case k when 1 then 'ENCLOSES' when 2 then 'DISPATCHES_TO' when 3 then 'UNIQUE_NAME' else 'RESOLVED' end as reason, coalesce(subsystem, '-') as subsystem, node, depth from r left join fn on fn.id = r.node where depth > 0),
+  y as (select *, row_number() over (partition by reason, subsystem order by depth, node) rn from z)
+  select reason, subsystem, count(*) as n_nodes, min(depth)::int as min_depth, string_agg(case when rn <= 12 then node end, ',' order by rn) as nearest, greatest(count(*) - 12, 0) as n_omitted from y group by 1, 2""")
 def lens_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = architecture_world(spark, sf_dir)
     return L.frontier_summary(L.frontier(w, L.resolve(w, _A)))
 
 
-@_rows_only("lens_impact")
+@_named("lens_impact", f"with recursive {_W}, {_INV}, {_affected('select id from sa union select id from sb')} select section, item, n from hit union all select distinct 'invariant', id, 1 from inv where f in (from seed) or src in ('vantor-core', 'vantor-ledger') or dst in ('vantor-core', 'vantor-ledger')")
 def lens_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = architecture_world(spark, sf_dir, True)
     return L.impact(w, [L.resolve(w, _A), L.resolve(w, _B)])
 
 
-@_rows_only("lens_trace")
+@_named("lens_trace")
 def lens_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = architecture_world(spark, sf_dir)
     return L.trace(w, L.resolve(w, _A), L.resolve(w, "subsystem:vantor-vault"))
 
 
-@_rows_only("lens_invariants")
+@_named("lens_invariants", f"with {_W}, {_INV} {_BORNE}")
 def lens_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = architecture_world(spark, sf_dir, True)
     return L.invariants(w, L.resolve(w, _A))
 
 
-@_rows_only("lens_understand")
+@_named("lens_understand")
 def lens_understand(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = architecture_world(spark, sf_dir, True)
     return L.understand(w, L.resolve(w, _A))
 
 
-@_rows_only("lens_plan")
+@_named("lens_plan", f"with recursive {_W}, {_INV}, {_affected('select id from sa')} select 'preserve' as step, id as item from ({_BORNE}) union all select 'verify_' || section, item from hit union all select 'resolve', dimension from ({_UNKNOWN})")
 def lens_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = architecture_world(spark, sf_dir, True)
     return L.plan(w, L.resolve(w, _A))
 
 
-@_rows_only("lens_hypothesis")
+@_named("lens_hypothesis")
 def lens_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does the core write to a store? Does it never?"""
     w = architecture_world(spark, sf_dir)
@@ -157,14 +188,56 @@ def lens_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "hypothesis string, outcome string")
 
 
-@_rows_only("lens_impact_closure")
+def _then_and_now(table: str, columns: str) -> str:
+    """A table of the world, before and after, as SQL."""
+    return f"select 'b' as w, {columns} from {table}_b union all select 'a', {columns} from {table}_a"
+
+
+_TWO = f"""{arch_sql("_b", BEFORE)}, {arch_sql("_a")}, tn as ({_then_and_now("anode", "node, crate, file_path, status")}), te as ({_then_and_now("aedge", "id, src, dst, kind, evidence_ref")}),
+  known as (select e.* from te e where exists (select 1 from tn where tn.w = e.w and tn.node = e.src) and exists (select 1 from tn where tn.w = e.w and tn.node = e.dst))"""
+
+
+@_named("lens_verify", f"""with {_TWO}, i as (select distinct w, 'INV-STATE:' || dst as id from known where kind = 'writes'), h as (select distinct k.w, lower(trim(n.crate)) || ': ' || upper(k.kind) as item from known k join tn n on n.w = k.w and n.node = k.src where k.kind in ('reads', 'writes', 'calls') and n.crate is not null)
+  select 'new' as section, id as item from i where w = 'a' and id not in (select id from i where w = 'b') union all select 'dropped', id from i where w = 'b' and id not in (select id from i where w = 'a')
+  union all select 'new_authority', item from h where w = 'a' and item like '%: WRITES' and item not in (select item from h where w = 'b')""")
+def lens_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the changes since BEFORE did to the invariants of state, and to which crates write."""
+    return L.invariant_delta(architecture_world(spark, sf_dir, until=BEFORE), architecture_world(spark, sf_dir), ["WRITES"])
+
+
+@_named("lens_impact_closure", f"""with {_TWO}, path as (select distinct file_path p from tn where w = 'a' and lower(trim(crate)) = 'vantor-core' and file_path is not null), seed as (select w, node from tn where file_path in (from path)),
+  nm as (select w, node, regexp_extract(node, ':([^#]*)', 1) as name from tn), fresh as (select regexp_extract(node, ':([^#]*)', 1) as name from seed where w = 'a' and node not in (select node from seed where w = 'b')),
+  calls as (select distinct w, src, dst from known where kind = 'calls'),
+  hits as (select node as function, 1 k from seed union all select c.dst, 2 from calls c join seed s on s.w = c.w and s.node = c.src
+    union all select src, 3 from calls where w = 'b' and dst in (select node from seed where w = 'b') and dst not in (select node from seed where w = 'a')
+    union all select c.src, 4 from calls c where c.w = 'b' and regexp_extract(c.dst, ':([^#]*)', 1) in (from fresh)
+    union all select e.src, 4 from te e where e.w = 'b' and e.kind = 'calls' and e.src is not null and e.dst is not null and e.dst not in (select node from tn where w = 'b') and regexp_extract(e.dst, ':([^#]*)', 1) in (from fresh))
+  select function, case min(k) when 1 then 'R1_SEED' when 2 then 'R2_CALLEE' when 3 then 'R3_CALLER_OF_REMOVED' else 'R4_NAME_CANDIDATE' end as rule from hits group by 1""")
 def lens_impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a change of the files of one crate may affect."""
+    """What the changes of the files of one crate since BEFORE may affect."""
+    before, after = architecture_world(spark, sf_dir, until=BEFORE), architecture_world(spark, sf_dir)
+    return L.impact_closure(before, after, L.resolve(after, _A).components)
+
+
+@_named("lens_capabilities", f"with {S.CAP_SQL}, {_W}, p as (select distinct cap_key c, target_crate s from cap where target_crate is not null), u as (select distinct p.c, x.subsystem s from kn join fn x on x.id = kn.src join fn y on y.id = kn.dst join p on p.s = y.subsystem where kn.kind = 'calls' and x.subsystem is not null and x.subsystem <> y.subsystem), b as (select c, s, true as p from p union all select c, s, false from u) select c as capability, count(*) filter (p) as n_providers, count(*) filter (not p) as n_consumers from b where c in (select c from b where s = 'vantor-core') group by 1")
+def lens_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capabilities that a crate provides, or consumes by calling into the crates that provide them. Calls are folded
+    to pairs of crates before they meet the capabilities."""
     w = architecture_world(spark, sf_dir)
-    return L.impact_closure(w, w, L.resolve(w, _A).components)
+    provided = S.capabilities(spark, sf_dir, "target_crate").where("target_crate is not null").select(F.col("cap_key").alias("capability"), F.col("target_crate").alias("subsystem"))
+    sub = w.functions.where("subsystem is not null").select("id", "subsystem")
+    pairs = w.relations.where("kind = 'INVOKES'").join(sub.select(F.col("id").alias("src"), F.col("subsystem").alias("user")), "src").join(sub.select(F.col("id").alias("dst"), "subsystem"), "dst").where("user <> subsystem").select("user", "subsystem").distinct()
+    consumed = provided.join(pairs, "subsystem").select("capability", F.col("user").alias("subsystem"))
+    return L.capabilities(provided, consumed, L.resolve(w, _A))
+
+
+@_named("lens_unanswerable", ORACLES["understanding_gaps"].join(("select * from (", ") where gap = 'edge without evidence'")))
+def lens_unanswerable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap that owns a question which cannot be answered; no row where the name owns none."""
+    return QUERIES["understanding_gaps"](spark, sf_dir).where("gap = 'edge without evidence'")
 
 
-@_rows_only("census_rules")
+@_named("census_rules")
 def census_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over observed effects and calls of subsystems."""
     w = architecture_world(spark, sf_dir)
