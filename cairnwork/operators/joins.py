@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnwork.session import materialise
+from cairnwork.session import broadcast_if_small, materialise
 
 
 def path_prefixes(path: Column) -> Column:
@@ -107,13 +107,40 @@ def tokens(text: Column, stop: Sequence[str] = (), least: int = 1) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop) if stop else F.length(w) >= least)
 
 
-def best_token_overlap(left: DataFrame, left_name: str, right: DataFrame, right_name: str, stop: Sequence[str] = (), least: int = 1, least_shared: int = 1) -> DataFrame:
+#: Names on the right side in which a word may be before it is a hot one.
+HOT_NAMES = 10_000
+
+
+def best_token_overlap(left: DataFrame, left_name: str, right: DataFrame, right_name: str, stop: Sequence[str] = (), least: int = 1, least_shared: int = 1, hot_names: int = HOT_NAMES) -> DataFrame:
     """(left name, right name, shared): for each distinct left name the right name with most words in common,
-    the least of equals. Only distinct names meet, by equi join on words; names that share no word do not."""
-    a = left.select(F.col(left_name).alias("a")).where("a is not null").distinct().withColumn("w", F.explode(tokens(F.col("a"), stop, least)))
-    b = right.select(F.col(right_name).alias("b")).where("b is not null").distinct().withColumn("w", F.explode(tokens(F.col("b"), stop, least)))
-    shared = a.join(b, "w").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
-    return shared.groupBy("a").agg(F.min(F.struct((-F.col("shared")).alias("s"), "b")).alias("m")).select(F.col("a").alias(left_name), F.col("m.b").alias(right_name), (-F.col("m.s")).alias("shared"))
+    the least of equals. Only distinct names meet, by equi join on words; names that share no word do not.
+
+    A word that more than `hot_names` right names have is no join key: names that share other words too are
+    found by those, and their hot words counted where they meet. For names that share hot words alone, a right name is
+    as good as any other with the same hot words, so only the distinct sets of hot words meet, each with
+    its least name. Nothing is lost, and no hot word makes a row for each pair of its names.
+    """
+    a = left.select(F.col(left_name).alias("a")).where("a is not null").distinct().withColumn("wa", tokens(F.col("a"), stop, least))
+    b = right.select(F.col(right_name).alias("b")).where("b is not null").distinct().withColumn("wb", tokens(F.col("b"), stop, least))
+    hot = materialise(b.select(F.explode("wb").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > hot_names).select("w"))
+    if hot.isEmpty():
+        shared = a.select("a", F.explode("wa").alias("w")).join(b.select("b", F.explode("wb").alias("w")), "w").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    else:
+        mark = broadcast_if_small(hot.withColumn("_hot", F.lit(True)))
+
+        def parted(df: DataFrame, name: str, words: str) -> DataFrame:
+            each = df.select(name, F.explode(words).alias("w")).join(mark, "w", "left")
+            return materialise(each.groupBy(name).agg(F.array_sort(F.collect_list(F.when(F.col("_hot"), F.col("w")))).alias("hot"), F.collect_list(F.when(F.col("_hot").isNull(), F.col("w"))).alias("rare")))
+
+        x, y = parted(a, "a", "wa"), parted(b, "b", "wb")
+        met = x.select("a", F.col("hot").alias("ha"), F.explode("rare").alias("w")).join(y.select("b", F.col("hot").alias("hb"), F.explode("rare").alias("w")), "w").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("ha").alias("ha"), F.first("hb").alias("hb"))
+        met = met.select("a", "b", (F.col("n") + F.size(F.array_intersect("ha", "hb"))).alias("shared"))
+        sets_a = x.where("size(hot) > 0").select(F.col("hot").alias("sa")).distinct()
+        sets_b = y.where("size(hot) > 0").groupBy(F.col("hot").alias("sb")).agg(F.min("b").alias("b"))
+        pairs = sets_a.select("sa", F.explode("sa").alias("w")).join(sets_b.select("sb", "b", F.explode("sb").alias("w")), "w").groupBy("sa", "sb", "b").agg(F.count("*").alias("shared"))
+        top = pairs.groupBy("sa").agg(F.min(F.struct((-F.col("shared")).alias("s"), "b")).alias("m")).select(F.col("sa").alias("hot"), F.col("m.b").alias("b"), (-F.col("m.s")).alias("shared"))
+        shared = met.unionByName(x.select("a", "hot").join(top, "hot").select("a", "b", "shared"))
+    return shared.where(F.col("shared") >= least_shared).groupBy("a").agg(F.min(F.struct((-F.col("shared")).alias("s"), "b")).alias("m")).select(F.col("a").alias(left_name), F.col("m.b").alias(right_name), (-F.col("m.s")).alias("shared"))
 
 
 def mentions(texts: DataFrame, id_: str, text: str, needles: DataFrame, needle: str, words: str = r"[\p{L}\p{N}_-]+") -> DataFrame:
@@ -178,8 +205,8 @@ def dimension_status(required: DataFrame, observed: DataFrame, key: str, at: str
 
 def path_conflicts(owned: DataFrame, id_: str, path: str) -> DataFrame:
     """(id, n_conflicts): for each owner how many other owners hold a path that is one of its own, or above or
-    below one. Prefixes are equi-join keys, and owners of a directory are folded before they meet, as the
-    number of owners at each path and above it."""
+    below one. Prefixes are equi-join keys. The other owners have to be told apart to be counted, so owners that meet at a
+    path are paired; where only hits are wanted, `ownership.forbidden_paths` counts them without pairs."""
     held = owned.where(F.col(path).isNotNull()).select(id_, F.rtrim(F.col(path), F.lit("/")).alias("_p")).distinct()
     up = held.select(id_, "_p", F.explode(path_prefixes(F.col("_p"))).alias("_q"))
     above = up.join(held.select(F.col(id_).alias("_o"), F.col("_p").alias("_q")), "_q").where(F.col(id_) != F.col("_o")).select(id_, "_o")

@@ -111,6 +111,31 @@ def _affected(seeds: str) -> str:
 _UNKNOWN = "select dimension from (select upper(kind) as dimension, count(*) filter (status = 'planned') n from fn where file_path in (select file_path from fn where subsystem = 'vantor-core') group by 1 union all select '(calls)', count(*) from aedge where kind = 'calls' and src in (from sa) and dst is not null and dst not in (select id from fn)) where n > 0"
 
 
+_UNDERSTAND = f"""with recursive {_W}, {_INV}, raw as (select 'INVOKES' as kind, src, dst from kn where kind = 'calls' union all select 'SUPPLIES_DATA', src, dst from kn where kind = 'calls' and evidence_ref is not null union all select 'SUPPLIES_DATA', dst, src from kn where kind = 'calls' and id % 2 = 0
+  union all select 'ENCLOSES', src, dst from kn where kind = 'owns' and src <> dst union all select 'DISPATCHES_TO', src, dst from kn where kind = 'guards' and src <> dst),
+  flow as (select case when src in (from sa) then 'flow_out' else 'flow_in' end as section, case when src in (from sa) then dst else src end as id from raw where (src in (from sa)) <> (dst in (from sa))),
+  nm as (select id, regexp_extract(id, ':([^#]*)', 1) as name from fn), one as (select name, min(id) id from nm group by 1 having count(*) = 1),
+  stp as (select distinct dst src, src dst, case kind when 'INVOKES' then 0 when 'ENCLOSES' then 1 else 2 end w from raw where kind in ('INVOKES', 'ENCLOSES', 'DISPATCHES_TO')
+    union select one.id, e.src, 3 from aedge e join one on one.name = regexp_extract(e.dst, ':([^#]*)', 1) where e.kind = 'calls' and e.src is not null and e.dst is not null and e.dst not in (select id from fn)),
+  r(node, depth, k) using key (node) as (select distinct id, 0, 0 from sa union select s.dst, min(r.depth) + 1, min(case when r.k > 0 then r.k else s.w end) from r join stp s on s.src = r.node where s.dst not in (select node from recurring.r) group by s.dst),
+  whole as (select 'entry_point' as section, id as item, n_callers::bigint as n from ({ORACLES["lens_entry_points"]}) union all select section, coalesce(fn.subsystem, '-'), count(*) from flow left join fn using (id) group by 1, 2
+    union all select 'state', key, writers_in + writers_out + readers_in + readers_out from ({ORACLES["lens_state"]}) union all select 'effect', category, n_sites from ({ORACLES["lens_effects"]})
+    union all select 'invariant', id, 1 from ({_BORNE}) union all select 'unknown', dimension, n_unknown from ({ORACLES["lens_unknowns"]}) where n_unknown > 0
+    union all select 'frontier', coalesce(subsystem, '-'), count(*) from r left join fn on fn.id = r.node where depth > 0 and k = 0 group by 2 union all select 'total', 'functions', count(*) from sa)
+  select section, item, n::bigint as n from whole qualify row_number() over (partition by section order by n desc, item) <= 12"""
+_HYPOTHESIS = f"""with {_W}, f as (select count(*) n from kn where kind = 'writes' and src in (from sa)), c as (select coalesce(bool_and(status = 'verified'), false) and count(*) > 0 as ok from fn where file_path in (select file_path from fn where subsystem = 'vantor-core'))
+  select h as hypothesis, case when f.n > 0 then yes when c.ok then no else 'STILL_HYPOTHESIZED' end as outcome from f, c, (values ('effect', 'VALIDATED', 'FALSIFIED'), ('never', 'FALSIFIED', 'VALIDATED')) v(h, yes, no)"""
+_RULES = f"""with {_W}, un as (select src id, regexp_extract(dst, ':([^#]*)', 1) as name from aedge where kind = 'calls' and src is not null and dst is not null and dst not in (select id from fn)),
+  ef as (select distinct fn.id, fn.subsystem s, upper(kn.kind) c from kn join fn on fn.id = kn.src where kn.kind in ('reads', 'writes', 'calls')),
+  facts as (select 'core-writes-nothing' as rule, id as fact, 2 v from ef where s = 'vantor-core' and c = 'WRITES' group by 2 union all select 'core-writes-nothing', id, 1 from fn where subsystem = 'vantor-core' and id in (select id from un)
+    union all select distinct 'cli-calls-no-vault', src, 2 from kn join fn on fn.id = kn.src where kn.kind = 'calls' and fn.subsystem = 'vantor-cli' and dst = 'vantor-vault' union all select distinct 'cli-calls-no-vault', un.id, 1 from un join fn using (id) where fn.subsystem = 'vantor-cli' and un.name = 'vantor-vault'
+    union all select 'cli-calls-no-vault', id, 1 from fn where subsystem = 'vantor-cli' and id in (select id from un)
+    union all select 'mail-effects', id, 2 from ef where s = 'vantor-mail' and c not in ('READS', 'CALLS') group by 2 union all select 'bench-is-pure', id, 2 from ef where s = 'vantor-bench' group by 2),
+  num as (select *, row_number() over (partition by rule, v order by fact) rn from facts)
+  select r.rule, case coalesce(max(v), 0) when 2 then 'VIOLATED' when 1 then 'UNKNOWN' else 'SATISFIED' end as verdict, count(fact) as n_facts, count(*) filter (v = 2) as n_violations, count(*) filter (v = 1) as n_unknown, coalesce(string_agg(case when v = 2 and rn <= 12 then fact end, ',' order by fact), '') as counterexamples
+  from (values ('core-writes-nothing'), ('cli-calls-no-vault'), ('mail-effects'), ('bench-is-pure')) r(rule) left join num using (rule) group by 1"""
+
+
 def _named(name: str, sql: str | None = None):  # noqa: ANN202
     def decorate(f):  # noqa: ANN001, ANN202
         f.__name__ = name
@@ -165,7 +190,7 @@ def lens_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.invariants(w, L.resolve(w, _A))
 
 
-@_named("lens_understand")
+@_named("lens_understand", _UNDERSTAND)
 def lens_understand(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = architecture_world(spark, sf_dir, True)
     return L.understand(w, L.resolve(w, _A))
@@ -177,7 +202,7 @@ def lens_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.plan(w, L.resolve(w, _A))
 
 
-@_named("lens_hypothesis")
+@_named("lens_hypothesis", _HYPOTHESIS)
 def lens_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does the core write to a store? Does it never?"""
     w = architecture_world(spark, sf_dir)
@@ -237,7 +262,7 @@ def lens_unanswerable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["understanding_gaps"](spark, sf_dir).where("gap = 'edge without evidence'")
 
 
-@_named("census_rules")
+@_named("census_rules", _RULES)
 def census_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over observed effects and calls of subsystems."""
     w = architecture_world(spark, sf_dir)

@@ -10,6 +10,7 @@ from cairnwork.functions import ranks as R
 from cairnwork.operators import graph as G
 from cairnwork.operators import joins as J
 from cairnwork.operators import windows as X
+from cairnwork.operators.versions import latest_version
 from cairnwork.plans import store as S
 from cairnwork.plans.registry import query
 from cairnwork.session import broadcast_if_small, materialise, table
@@ -317,11 +318,15 @@ def donor_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(kinds, "kind").groupBy("donor").agg(F.round(F.sum(F.abs(F.log((F.col("n") / F.col("a")) / (F.col("t") / F.col("z"))))), 6).alias("novelty"))
 
 
-@query(f"with {S.SRC_SQL}, a as (select count(*) n from src), b as (select coalesce(sum(k), 0)::bigint n from (select surface, count(*) k from src group by 1)), c as (select count(distinct id) n from src) select a.n as n_in, b.n as n_out, (a.n = b.n and a.n = c.n) as closed from a, b, c")
+@query(f"with {S.SRC_SQL}, i as (select count(distinct id) n from source_capability), d as (select count(*) n from (select id from source_capability qualify row_number() over (partition by id order by synced_at desc) = 1 and deleted_at is not null)), o as (select coalesce(sum(k), 0)::bigint n from (select surface, count(*) k from src group by 1)) select i.n as n_in, d.n as n_deleted, o.n as n_out, (i.n = d.n + o.n) as closed from i, d, o")
 def accounting_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in, rows accounted for, and whether that closes."""
-    by = S.sources(spark, sf_dir, "surface").groupBy("surface").agg(F.count("*").alias("k"), F.countDistinct("id").alias("d"))
-    return by.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_in"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_out"), F.coalesce(F.sum("k") == F.sum("d"), F.lit(True)).alias("closed"))
+    """Records in, taken from the table itself, against records deleted and records reported by surface."""
+    raw = table(spark, sf_dir, "source_capability").where("id is not null")
+    came = raw.agg(F.countDistinct("id").alias("n_in"))
+    gone = latest_version(raw, ["id"], "synced_at", ["deleted_at"]).agg(F.count_if(F.col("deleted_at").isNotNull()).alias("n_deleted"))
+    out = S.sources(spark, sf_dir, "surface").groupBy("surface").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_out"))
+    one = came.join(F.broadcast(gone)).join(F.broadcast(out))  # one row each
+    return one.withColumn("closed", F.col("n_in") == F.col("n_deleted") + F.col("n_out"))
 
 
 @query(f"with {S.CAP_SQL}, {S.SRC_SQL}, d as (select canonical_id, count(distinct donor) n from src group by 1) select c.cap_key, c.donor_count as stated, coalesce(d.n, 0) as counted from cap c left join d on d.canonical_id = c.id where c.donor_count is distinct from coalesce(d.n, 0)")
@@ -342,7 +347,6 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strongest_with_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest status of a key over both copies; attributes it lacks are filled from the weaker row."""
     from cairnwork.functions.text import normal_form
-    from cairnwork.operators.versions import latest_version
 
     def copy(name: str, place: int) -> DataFrame:
         t = table(spark, sf_dir, name).select(normal_form(F.col("key")).alias("cap_key"), normal_form(F.col("status")).alias("status"), normal_form(F.col("blocker")).alias("blocker"), "domain", "deleted_at", "synced_at")
@@ -367,11 +371,18 @@ def opportunity_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.opportunities(spark, sf_dir, "impact", "reach", "leverage", "effort", "confidence", "ev", "priority").where("impact is not null and reach is not null and leverage is not null").select("opp_id", ev.alias("ev"), F.round(F.try_divide((ev * F.col("confidence")).cast("double"), F.col("effort")), 2).alias("priority"))
 
 
-@query("select count(*) as n_rows, sum(ps)::bigint as checksum from (select ((c_custkey * 31 + c_nationkey * 17 + length(c_name)) % 1000003) ps from customer)")
+_ROW_MD5 = "md5(concat_ws('|', coalesce(c_custkey::varchar, '~'), coalesce(c_name, '~'), coalesce(c_nationkey::varchar, '~'), coalesce(round(c_acctbal * 100)::bigint::varchar, '~'), coalesce(c_mktsegment, '~')))"
+
+
+@query(f"select count(*) as n_rows, bit_xor(('0x' || substr(m, 1, 15))::bigint) as xor_low, bit_xor(('0x' || substr(m, 17, 15))::bigint) as xor_high, sum(('0x' || substr(m, 1, 8))::bigint)::bigint as total from (select {_ROW_MD5} m from customer)")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint that no order of rows changes: a commutative sum of row digests."""
-    digest = (F.col("c_custkey") * 31 + F.col("c_nationkey") * 17 + F.length("c_name")) % 1000003
-    return table(spark, sf_dir, "customer").agg(F.count("*").alias("n_rows"), F.sum(digest).alias("checksum"))
+    """A fingerprint over all columns that no order of rows changes: 120 bits of the rows' digests as an exclusive or,
+    and a sum, which rows that occur twice do not leave as it was."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
+    row = F.concat_ws("|", text(F.col("c_custkey")), text(F.col("c_name")), text(F.col("c_nationkey")), text(F.round(F.col("c_acctbal") * 100).cast("bigint")), text(F.col("c_mktsegment")))
+    part = lambda a, n: F.conv(F.substring(F.col("m"), a, n), 16, 10).cast("bigint")
+    digests = table(spark, sf_dir, "customer").select(F.md5(row).alias("m"))
+    return digests.agg(F.count("*").alias("n_rows"), F.bit_xor(part(1, 15)).alias("xor_low"), F.bit_xor(part(17, 15)).alias("xor_high"), F.sum(part(1, 8)).alias("total"))
 
 
 # ---- ranked and running rows

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from cairnwork.operators.normalise import canonical_json
+from cairnwork.session import stored
 
 
 class ConflictingReplay(ValueError):
@@ -18,8 +19,11 @@ class ConflictingReplay(ValueError):
 
 def exists(spark: SparkSession, path: str) -> bool:
     sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+    p, kept = (sc._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.previous"))
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(p) and fs.exists(kept):  # a run ended between taking the old table away and putting the new one there
+        fs.rename(kept, p)
+    return fs.exists(p)
 
 
 def first_present(spark: SparkSession, name: str, folders: Sequence[str], columns: Sequence[str] = ()) -> DataFrame | None:
@@ -69,15 +73,19 @@ def write_once(df: DataFrame, path: str) -> str:
 
 
 def _publish(df: DataFrame, path: str) -> None:
-    """Replace a table by one that was computed from it: written beside it first, then put in its place."""
+    """Replace a table by one that was computed from it: written beside it first, then put in its place. The old table
+    is kept beside it until the new one is there; `exists` puts it back where a run ended in between."""
     spark = df.sparkSession
     fresh = f"{path}.next"
     df.write.mode("overwrite").parquet(fresh)
     sc = spark.sparkContext
     jpath = sc._jvm.org.apache.hadoop.fs.Path
     fs = jpath(path).getFileSystem(sc._jsc.hadoopConfiguration())
-    fs.delete(jpath(path), True)
+    fs.delete(jpath(f"{path}.previous"), True)
+    if fs.exists(jpath(path)):
+        fs.rename(jpath(path), jpath(f"{path}.previous"))
     fs.rename(jpath(fresh), jpath(path))
+    fs.delete(jpath(f"{path}.previous"), True)
 
 
 def full_sync(df: DataFrame, path: str, keys: Sequence[str]) -> dict[str, int]:
@@ -102,11 +110,9 @@ def insert_or_ignore(df: DataFrame, path: str, keys: Sequence[str]) -> int:
     new = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
     if exists(spark, path):
         new = new.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
-    new = new.cache()
-    n = new.count()
+    new = stored(new)
     new.write.mode("append").parquet(path)
-    new.unpersist()
-    return n
+    return new.count()
 
 
 def insert_or_replace(df: DataFrame, path: str, keys: Sequence[str], order: str) -> None:
