@@ -138,6 +138,23 @@ def rational_multiply(a: Column, b: Column) -> Column:
     return rational(F.try_multiply(a["num"], b["num"]), F.try_multiply(a["den"], b["den"]))
 
 
+def rational_negate(a: Column) -> Column:
+    return F.when(a.isNotNull(), F.struct((-a["num"]).alias("num"), a["den"].alias("den")))
+
+
+def rational_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as a is less than, equal to or greater than b; null where either is, or the products overflow."""
+    return F.signum(F.try_subtract(F.try_multiply(a["num"], b["den"]), F.try_multiply(b["num"], a["den"]))).cast("int")
+
+
+def nearest_fraction(x: Column, most: int) -> Column:
+    """The fraction nearest to a number among those whose denominator is at most `most`; of equally near ones that with
+    the least denominator. Null for null, NaN and infinity."""
+    tried = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda q: F.struct(F.abs(x - F.round(x * q) / q).alias("off"), q.alias("den"), F.round(x * q).cast("long").alias("num")))
+    best = F.array_min(tried)
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(9e15)), F.struct(best["num"].alias("num"), best["den"].alias("den")))
+
+
 def element_count(shape: Column) -> Column:
     """Product of a tensor's shape; 1 for a scalar."""
     return F.aggregate(shape, F.lit(1).cast("long"), lambda a, x: a * x)

@@ -184,8 +184,3 @@ def hypothesis_outcome(found: DataFrame, covered: DataFrame, refutes: bool) -> s
     if covered.where(~F.coalesce("observed", F.lit(False))).isEmpty() and not covered.isEmpty():
         return "VALIDATED" if refutes else "FALSIFIED"
     return "STILL_HYPOTHESIZED"
-
-
-def unresolved_references(refs: DataFrame, ref: str, names: DataFrame, name: str, keep: Sequence[str]) -> DataFrame:
-    """Citations of what does not exist: explode references first, then this anti join."""
-    return refs.where(F.col(ref).isNotNull()).join(names.select(F.col(name).alias(ref)).distinct(), ref, "left_anti").select(*keep, ref)

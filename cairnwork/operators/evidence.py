@@ -158,8 +158,3 @@ def gate(reports: Sequence[tuple[str, DataFrame]], id_: str) -> DataFrame:
 def scorecard(checks: DataFrame, area: str, passed: str) -> DataFrame:
     """(area, n_passed, n_total, percent) with one decimal."""
     return checks.groupBy(area).agg(F.count_if(passed).alias("n_passed"), F.count("*").alias("n_total"), F.round(F.count_if(passed) * 100.0 / F.count("*"), 1).alias("percent"))
-
-
-def sole_identity(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose key no other row has."""
-    return df.withColumn("_n", F.count("*").over(W.partitionBy(key))).where("_n = 1").drop("_n")

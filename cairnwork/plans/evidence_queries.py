@@ -18,17 +18,18 @@ _X = "lower(regexp_extract(regexp_extract(path, '[^/]*$'), '.\\.([^.]+)$', 1))"
 _LANG = f"case {_X} when 'rs' then 'rust' when 'ts' then 'typescript' when 'tsx' then 'typescript' when 'py' then 'python' when 'go' then 'go' when 'java' then 'java' when 'rb' then 'ruby' when 'sql' then 'sql' when 'md' then 'markdown' when 'yaml' then 'yaml' end"
 
 
-@query(f"""with {S.FILE_SQL}, a as (select path, coalesce({_LANG}, '.' || {_X}) subject, case when {_LANG} is not null then 'language' else 'class' end kind, classification, read_status from fil where path is not null),
-  g as (select subject, kind, count(*) n_artifacts, count(*) filter (classification = 'mapped' and kind = 'language') n_parsed, count(*) filter (classification = 'mapped') n_records, count(*) filter (read_status = 'reviewed') n_ok from a group by all)
-  select subject, kind, n_artifacts, n_parsed, n_records, case when kind <> 'language' then 'L0_DISCOVERED' when n_parsed = 0 then 'L1_IDENTIFIED' when n_records = 0 then 'L2_SYNTAX' when n_ok = 0 then 'L3_TYPED_RECORDS' else 'L4_OBLIGATIONS_EVALUATED' end as level from g""")
+@query(f"""with {S.FILE_SQL}, a as (select path, coalesce({_LANG}, '.' || {_X}) subject, case when {_LANG} is not null then 'language' else 'class' end kind, classification, read_status, trim(coalesce(mapped_source_ids, '')) <> '' mapped, sha256 is not null and read_status = 'reviewed' sealed from fil where path is not null),
+  g as (select subject, kind, count(*) n_artifacts, count(*) filter (classification = 'mapped' and kind = 'language') n_parsed, count(*) filter (classification = 'mapped') n_records, count(*) filter (read_status = 'reviewed') n_ok, count(*) filter (mapped) n_fun, count(*) filter (mapped and sealed) n_der from a group by all)
+  select subject, kind, n_artifacts, n_parsed, n_records, case when kind <> 'language' then 'L0_DISCOVERED' when n_parsed = 0 then 'L1_IDENTIFIED' when n_records = 0 then 'L2_SYNTAX' when n_ok = 0 then 'L3_TYPED_RECORDS' when n_fun = 0 then 'L4_OBLIGATIONS_EVALUATED' when n_der = 0 then 'L5_COMPOSED' else 'L6_AGENT_USABLE' end as level from g""")
 def status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each language is supported: files, mapped files as records, reviews as obligations."""
-    fil = materialise(S.files(spark, sf_dir, "path", "kind", "classification", "read_status").where("path is not null").select("file_id", "path", "classification", "read_status", language(F.col("path")).alias("language"), artifact_class(F.col("path")).alias("class")))
+    """How far each language is supported: files, mapped files as records, reviews as obligations, files that name sources as functions,
+    reviewed ones with a digest as derived."""
+    fil = materialise(S.files(spark, sf_dir, "path", "kind", "classification", "read_status", "mapped_source_ids", "sha256").where("path is not null").select("file_id", "path", "classification", "read_status", (F.trim(F.coalesce("mapped_source_ids", F.lit(""))) != "").alias("mapped"), (F.col("sha256").isNotNull() & (F.col("read_status") == "reviewed")).alias("sealed"), language(F.col("path")).alias("language"), artifact_class(F.col("path")).alias("class")))
     art = fil.select(F.col("file_id").alias("path"), "language", "class", (F.col("classification") == "mapped").alias("parsed"))
     rec = fil.where("classification = 'mapped'").select(F.col("file_id").alias("path"))
     obl = fil.select(F.col("file_id").alias("path"), F.lit("READ").alias("dimension"), F.when(F.col("read_status") == "reviewed", "OBSERVED").otherwise("UNKNOWN").alias("status"))
-    none = fil.select(F.col("file_id").alias("id"), F.col("file_id").alias("path")).limit(0)
-    return E.support_levels(art, rec, obl, none, none.select("id")).select("subject", "kind", "n_artifacts", "n_parsed", "n_records", "level")
+    fun = fil.where("mapped").select(F.col("file_id").alias("id"), F.col("file_id").alias("path"))
+    return E.support_levels(art, rec, obl, fun, fil.where("mapped and sealed").select(F.col("file_id").alias("id"))).select("subject", "kind", "n_artifacts", "n_parsed", "n_records", "level")
 
 
 @query(f"""with {S.CAP_SQL}, {S.OVR_SQL}, m as (select cap_key, max(case o_status when 'verified' then 'L3' when 'implemented_unverified' then 'L2' else 'L1' end) as l from ovr where o_status is not null group by 1)

@@ -30,21 +30,13 @@ def streaming_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(_as_folder(sf_dir))
     rows = stream.where("event_id is not null").select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", "value")
     I.maintain_snapshot(rows, f"{folder}/snapshot", ["user_id"], "at", f"{folder}/checkpoint").awaitTermination()
-    # One file gives one batch; of several the last generation holds all.
-    last = max((p for p in _generations(spark, f"{folder}/snapshot")), default=None)
-    return spark.read.parquet(f"{folder}/snapshot/gen={last}").select("user_id", "event_id", "value")
+    return I.read_snapshot(spark, f"{folder}/snapshot", ["user_id"], "at").select("user_id", "event_id", "value")
 
 
 def _as_folder(sf_dir: str) -> str:
     return f"{sf_dir}/events.parquet*"
 
 
-def _generations(spark: SparkSession, path: str) -> list[int]:
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return [int(s.getPath().getName().split("=")[1]) for s in p.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(p) if "gen=" in s.getPath().getName()]
-
-
 @query(f"with {S.FILE_SQL} select sha256 as digest, min(length(path)) as path_length, count(*) as n_files from fil where sha256 is not null group by 1")
 def memoised_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A derivation by content, half of it found in a cache: equal to deriving all."""

@@ -11,30 +11,52 @@ from pyspark.sql.streaming import StreamingQuery
 from cairnwork.sources.catalogue import exists
 
 
-def latest_state(stream: DataFrame, keys: Sequence[str], at: str, keep: Sequence[str]) -> DataFrame:
-    """The latest row of each key of a stream, as a streaming aggregation (output mode update or complete)."""
-    return stream.groupBy(*keys).agg(F.max(F.struct(at, *keep)).alias("_l")).select(*keys, F.col(f"_l.{at}").alias(at), *(F.col(f"_l.{c}").alias(c) for c in keep))
+#: Micro-batches after which what they brought is folded into the snapshot's base.
+COMPACT = 16
 
 
-def maintain_snapshot(stream: DataFrame, path: str, keys: Sequence[str], at: str, checkpoint: str) -> StreamingQuery:
-    """Keep a snapshot of the latest row of each key, a new generation for each micro-batch under `path/gen=N`. A
-    batch that is run again writes the same generation again, so the result is exact after failures."""
+def _latest(rows: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys and c != at]
+    return rows.groupBy(*keys).agg(F.max(F.struct(at, *rest)).alias("_l")).select(*keys, F.col(f"_l.{at}").alias(at), *(F.col(f"_l.{c}").alias(c) for c in rest))
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rest = [c for c in batch.columns if c not in keys and c != at]
-        previous = f"{path}/gen={epoch - 1}"
-        rows = batch
-        if epoch and exists(batch.sparkSession, previous):
-            rows = rows.unionByName(batch.sparkSession.read.parquet(previous))
-        new = rows.groupBy(*keys).agg(F.max(F.struct(at, *rest)).alias("_l")).select(*keys, F.col(f"_l.{at}").alias(at), *(F.col(f"_l.{c}").alias(c) for c in rest))
-        new.write.mode("overwrite").parquet(f"{path}/gen={epoch}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def _parts(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The numbers of the finished parts `path/kind=N`."""
+    if not exists(spark, path):
+        return []
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in p.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(int(x.split("=")[1]) for x in names if x.startswith(f"{kind}=") and exists(spark, f"{path}/{x}/_SUCCESS"))
+
+
+def read_snapshot(spark: SparkSession, path: str, keys: Sequence[str], at: str, upto: int | None = None) -> DataFrame | None:
+    """The latest row of each key in a snapshot kept by maintain_snapshot; null where nothing has been kept."""
+    bases = [n for n in _parts(spark, path, "base") if upto is None or n <= upto]
+    deltas = [n for n in _parts(spark, path, "delta") if (not bases or n > bases[-1]) and (upto is None or n <= upto)]
+    paths = [f"{path}/base={n}" for n in bases[-1:]] + [f"{path}/delta={n}" for n in deltas]
+    return _latest(spark.read.parquet(*paths), keys, at) if paths else None
 
 
-def windowed_counts(stream: DataFrame, at: str, keys: Sequence[str], width: str, late: str) -> DataFrame:
-    """Counts by window of event time, rows later than `late` left out."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n_rows")).select(F.col("window.start").alias("start"), *keys, "n_rows")
+def maintain_snapshot(stream: DataFrame, path: str, keys: Sequence[str], at: str, checkpoint: str, compact: int = COMPACT) -> StreamingQuery:
+    """Keep a snapshot of the latest row of each key under `path`. A micro-batch writes its own latest rows as a delta;
+    every `compact` batches the deltas are folded into a new base, and older parts are removed. So a batch costs what
+    it brings, and the whole is written once in `compact` batches. A batch that is run again writes the same
+    parts again, and a part counts only when it is whole, so the result is exact after failures."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        _latest(batch, keys, at).write.mode("overwrite").parquet(f"{path}/delta={epoch}")
+        if (epoch + 1) % compact == 0 and epoch not in _parts(spark, path, "base"):
+            read_snapshot(spark, path, keys, at, epoch).write.mode("overwrite").parquet(f"{path}/base={epoch}")
+        bases = _parts(spark, path, "base")
+        old = [f"delta={n}" for n in _parts(spark, path, "delta") if bases and n < bases[-1]] + [f"base={n}" for n in bases[:-1]]
+        for name in old:
+            sc = spark.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def watch_folder(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:

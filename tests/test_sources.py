@@ -83,14 +83,15 @@ def test_incremental(spark, tmp_path):
     src, snap = str(tmp_path / "in"), str(tmp_path / "snap")
     spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (1, 2, "c")], "k int, at int, v string").write.parquet(src)
     stream = I.watch_folder(spark, src, "k int, at int, v string")
-    I.maintain_snapshot(stream, snap, ["k"], "at", str(tmp_path / "ck")).awaitTermination()
-    spark.createDataFrame([(1, 1, "late"), (3, 9, "d")], "k int, at int, v string").write.mode("append").parquet(src)
-    I.maintain_snapshot(I.watch_folder(spark, src, "k int, at int, v string"), snap, ["k"], "at", str(tmp_path / "ck")).awaitTermination()
-    last = sorted((tmp_path / "snap").iterdir(), key=lambda p: int(p.name.split("=")[1]))[-1]
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(last)).collect()) == [(1, "c"), (2, "b"), (3, "d")]
+    I.maintain_snapshot(stream, snap, ["k"], "at", str(tmp_path / "ck"), compact=2).awaitTermination()
+    for more in ([(1, 1, "late"), (3, 9, "d")], [(2, 5, "e")], [(4, 1, "f")]):
+        spark.createDataFrame(more, "k int, at int, v string").write.mode("append").parquet(src)
+        I.maintain_snapshot(I.watch_folder(spark, src, "k int, at int, v string"), snap, ["k"], "at", str(tmp_path / "ck"), compact=2).awaitTermination()
+    assert sorted((r["k"], r["v"]) for r in I.read_snapshot(spark, snap, ["k"], "at").collect()) == [(1, "c"), (2, "e"), (3, "d"), (4, "f")]
+    assert sum(p.name.startswith("base=") for p in (tmp_path / "snap").iterdir()) == 1 and I.read_snapshot(spark, str(tmp_path / "none"), ["k"], "at") is None
     ledger = str(tmp_path / "ledger")
     I.append_ledger(I.watch_folder(spark, src, "k int, at int, v string"), ledger, str(tmp_path / "ck2")).awaitTermination()
-    assert spark.read.parquet(ledger).count() == 5
+    assert spark.read.parquet(ledger).count() == 7
 
 
 def test_memo_and_leases(spark):
