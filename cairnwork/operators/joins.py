@@ -151,6 +151,24 @@ def mentions(texts: DataFrame, id_: str, text: str, needles: DataFrame, needle:
     return spoken.join(wanted, "_w").groupBy(id_, needle).agg(F.count("*").alias("n"))
 
 
+def phrase_mentions(texts: DataFrame, id_: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """(id, needle): which texts hold which phrases of one word or more, as whole words, in any case, whatever stands
+    between the words. Needles without a word hold nowhere; repeated texts and needles count once.
+
+    A phrase is looked for only in texts that hold its first two words next to each other (its only word, where it has
+    but one): that is an equi join; the whole phrase is then compared inside the text.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    n = needles.select(F.col(needle).alias("_needle")).where("_needle is not null").distinct().withColumn("_w", words(F.col("_needle"))).where("size(_w) > 0")
+    n = n.select("_needle", spaced(F.col("_w")).alias("_phrase"), F.array_join(F.slice("_w", 1, 2), " ").alias("_key"))
+    t = texts.select(F.col(id_).alias("_id"), words(F.col(text)).alias("_w")).where("size(_w) > 0")
+    pairs = F.zip_with("_w", F.slice("_w", 2, F.lit(1 << 30)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    keys = F.array_distinct(F.concat(F.col("_w"), F.array_compact(pairs)))
+    met = t.select("_id", spaced(F.col("_w")).alias("_text"), F.explode(keys).alias("_key")).join(n, "_key").where(F.contains(F.col("_text"), F.col("_phrase")))
+    return met.select(F.col("_id").alias(id_), F.col("_needle").alias(needle)).distinct()
+
+
 def first_matching_rule(rows: DataFrame, keys: Sequence[tuple[str, Column]], rules: DataFrame) -> DataFrame:
     """`rows` with `target` and `via` of the first rule that matches: a ladder of ranked equi joins in one.
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cairnwork.session import BROADCAST_BYTES, materialise
 
-#: Words that stand for no value, and words that join two values, in any case.
+#: Words that stand for no value, and words that join two values, in any case, where a caller names no others.
 NOTHING = ("n/a", "none", "null", "nil", "nan", "na", "tbd", "unknown", "nothing", "empty", "keine", "ninguno")
 JOINING = ("and", "und", "et", "y", "or", "oder")
 #: Characters of which values are made. In paths a slash is one of them.
@@ -26,24 +26,24 @@ AS_IS, ESCAPED, DOUBLED, ESCAPED_SINGLE, DOUBLED_SINGLE = range(5)
 HEAVY_SKELETONS = 2000
 
 
-def _patterns(path: bool) -> tuple[str, list[tuple[str, str]]]:
+def _patterns(path: bool, nothing: Sequence[str], joining: Sequence[str]) -> tuple[str, list[tuple[str, str]]]:
     letter = f"[{_LETTER}{'/' if path else ''}]"
     alone = lambda x: f"(?<!{letter})(?:{x})(?!{letter})"
-    words = alone("(?i:" + "|".join(map(re.escape, NOTHING)) + ")")
-    joins = alone("(?i:" + "|".join(JOINING) + ")")
+    words = alone("(?i:" + "|".join(map(re.escape, nothing)) + ")")
+    joins = alone("(?i:" + "|".join(map(re.escape, joining)) + ")")
     dash = alone("-+")
     masks = [(words, NOWORD), (joins, JOINWORD), (dash, DASH), *([(alone("/"), SLASH)] if path else []), (f"{letter}+", ORDINARY)]
     return f"(?s){words}|{joins}|{dash}|{letter}+|.", masks
 
 
-def pieces(text: Column, path: bool) -> Column:
+def pieces(text: Column, path: bool, nothing: Sequence[str] = NOTHING, joining: Sequence[str] = JOINING) -> Column:
     """The text cut into runs of ordinary characters and single other characters."""
-    return F.regexp_extract_all(text, F.lit(_patterns(path)[0]), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_patterns(path, nothing, joining)[0]), F.lit(0))
 
 
-def skeleton(text: Column, path: bool) -> Column:
+def skeleton(text: Column, path: bool, nothing: Sequence[str] = NOTHING, joining: Sequence[str] = JOINING) -> Column:
     """The text with every piece masked by one character; its n-th character is the n-th piece."""
-    for pattern, mask in _patterns(path)[1]:
+    for pattern, mask in _patterns(path, nothing, joining)[1]:
         text = F.regexp_replace(text, pattern, mask)
     return text
 
@@ -138,7 +138,7 @@ def _resolve(skeletons: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([[{"s": a, "l": b, "m": c} for a, b, c in resolve(s, p)] for s, p in zip(skeletons, path)])
 
 
-def unpack_values(df: DataFrame, text: str, path: str, keep: Sequence[str], rules_from: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def unpack_values(df: DataFrame, text: str, path: str, keep: Sequence[str], rules_from: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES, nothing: Sequence[str] = NOTHING, joining: Sequence[str] = JOINING) -> DataFrame:
     """One row for each value packed in `text`: `keep`, `item_pos` (from 1) and `item`.
 
     `path` (boolean column) tells texts whose values are paths, in which a slash belongs to the value.
@@ -148,11 +148,13 @@ def unpack_values(df: DataFrame, text: str, path: str, keep: Sequence[str], rule
 
     Texts are reduced to delimiter skeletons; a splitting rule is resolved once for each distinct
     skeleton; the rules are broadcast when their measured size allows, otherwise the heaviest skeletons'
-    rules are broadcast (there are at most HEAVY_SKELETONS) and the others joined by shuffle; then
-    values are extracted by piece positions, all inside the JVM.
+    rules are broadcast (there are at most HEAVY_SKELETONS, none with more than its share of the bytes) and the others
+    joined by shuffle; then values are extracted by piece positions, all inside the JVM. `nothing` and `joining` are
+    the words for no value and the words that join two.
     """
     source = (rules_from if rules_from is not None else df).select(F.col(text).alias("_t"), F.col(path).alias("_path"))
-    shape = lambda t, p: F.when(p, skeleton(t, True)).otherwise(skeleton(t, False))
+    words = (tuple(nothing), tuple(joining))
+    shape = lambda t, p: F.when(p, skeleton(t, True, *words)).otherwise(skeleton(t, False, *words))
     counted = source.where("_t is not null").select(shape(F.col("_t"), F.col("_path")).alias("_k"), "_path").groupBy("_k", "_path").agg(F.count("*").alias("_n"))
     rules = materialise(counted.withColumn("_rule", _resolve("_k", "_path")))
     size = rules.agg(F.coalesce(F.sum(F.octet_length("_k") + 64 + 24 * F.size("_rule")), F.lit(0)).alias("b"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()
@@ -162,11 +164,11 @@ def unpack_values(df: DataFrame, text: str, path: str, keep: Sequence[str], rule
     if size["b"] <= broadcast_bytes:
         ruled = texts.join(F.broadcast(plain), ["_k", "_path"])
     else:
-        is_heavy = F.col("_n") > size["n"] / HEAVY_SKELETONS
+        is_heavy = (F.col("_n") > size["n"] / HEAVY_SKELETONS) & (F.octet_length("_k") + 64 + 24 * F.size("_rule") <= broadcast_bytes / HEAVY_SKELETONS)
         heavy = F.broadcast(rules.where(is_heavy).select("_k", "_path", "_rule"))
         rest = texts.join(heavy.select("_k", "_path"), ["_k", "_path"], "left_anti").join(rules.where(~is_heavy).select("_k", "_path", "_rule"), ["_k", "_path"])
         ruled = texts.join(heavy, ["_k", "_path"]).unionByName(rest)
-    cut = ruled.where(F.size("_rule") > 0).withColumn("_pieces", F.when(F.col("_path"), pieces(F.col("_t"), True)).otherwise(pieces(F.col("_t"), False)))
+    cut = ruled.where(F.size("_rule") > 0).withColumn("_pieces", F.when(F.col("_path"), pieces(F.col("_t"), True, *words)).otherwise(pieces(F.col("_t"), False, *words)))
     values = cut.select(*keep, F.posexplode(F.transform("_rule", lambda r: F.struct(F.array_join(F.slice("_pieces", r["s"] + 1, r["l"]), "").alias("v"), r["m"].alias("m")))).alias("_at", "_v"))
     v, how = F.col("_v.v"), F.col("_v.m")
     json = lambda x: F.coalesce(F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>")[0], x)

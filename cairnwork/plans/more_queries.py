@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from cairnwork.functions import quantity as Q
 from cairnwork.functions import ranks as R
 from cairnwork.operators import evidence as E
+from cairnwork.operators import joins as J
 from cairnwork.plans import store as S
-from cairnwork.plans.registry import query
+from cairnwork.plans import evidence_queries  # noqa: F401 (its queries are used by name)
+from cairnwork.plans.registry import ORACLES, QUERIES, query
 from cairnwork.session import table
 
 
@@ -104,3 +106,44 @@ def nearest_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers as fractions with small denominators."""
     f = Q.nearest_fraction(F.col("s_acctbal") / 977.0, 16)
     return table(spark, sf_dir, "supplier").select("s_suppkey", f["num"].alias("num"), f["den"].alias("den"))
+
+
+_WORDS = "array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), ' ')"
+
+
+@query(f"with {S.SRC_SQL}, n as (select distinct module, {_WORDS.format('module')} p from src where module is not null), t as (select doc_id, {_WORDS.format('text')} w from documents where text is not null) select distinct doc_id, module from t join n on p <> '' and contains(' ' || w || ' ', ' ' || p || ' ')")
+def phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents name which modules, by all the words of the name."""
+    return J.phrase_mentions(table(spark, sf_dir, "documents"), "doc_id", "text", S.sources(spark, sf_dir, "module"), "module")
+
+
+@query("with l as (select o_custkey task, max({'e': o_orderdate, 'i': o_orderkey, 's': o_orderstatus}) v from orders group by 1) select task, v.i as lease_id, case when v.s = 'O' and v.e + interval 90 day <= timestamp '1998-01-01' then 'EXPIRED' when v.s = 'O' then 'ACTIVE' else v.s end as state from l")
+def latest_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest lease of each task, and its state now; orders of a customer seen as leases of ninety days."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("task")).agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("v"))
+    out = (F.col("v.o_orderdate") + F.expr("interval 90 days")) <= F.lit("1998-01-01").cast("timestamp_ntz")
+    open_ = F.col("v.o_orderstatus") == "O"
+    return o.select("task", F.col("v.o_orderkey").alias("lease_id"), F.when(open_ & out, "EXPIRED").when(open_, "ACTIVE").otherwise(F.col("v.o_orderstatus")).alias("state"))
+
+
+@query(f"with {S.SRC_SQL} select 'PROVIDES' as kind, 'donor:' || donor as src, 'module:' || module as dst, count(*) as weight, min(id) as first_fact from src where donor is not null and module is not null group by all union all select 'TARGETS', 'module:' || module, 'crate:' || target_crate, count(*), min(id) from src where module is not null and target_crate is not null group by all")
+def facts_to_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed weighted edges made of facts in one pass; the least fact stands as evidence."""
+    named = lambda k, c: F.concat(F.lit(f"{k}:"), F.col(c))
+    edges = F.array_compact(F.array(*(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(kind).alias("kind"), named(x, a).alias("src"), named(y, b).alias("dst"))) for kind, x, a, y, b in (("PROVIDES", "donor", "donor", "module", "module"), ("TARGETS", "module", "module", "crate", "target_crate")))))
+    facts = S.sources(spark, sf_dir, "donor", "module", "target_crate").select("id", F.explode(edges).alias("e"))
+    return facts.groupBy("e.kind", "e.src", "e.dst").agg(F.count("*").alias("weight"), F.min("id").alias("first_fact"))
+
+
+@query(ORACLES["gate_report"].join(("select cap_key, case when blockers = '' then 'SEALED' else 'BLOCKED' end as state, case when blockers = '' then 0 else length(blockers) - length(replace(blockers, ',', '')) + 1 end::int as n_blockers from (", ")")))
+def seal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capability is sealed when no gate blocks it."""
+    return QUERIES["gate_report"](spark, sf_dir).select("cap_key", F.when(F.col("blockers") == "", "SEALED").otherwise("BLOCKED").alias("state"), F.when(F.col("blockers") == "", 0).otherwise(F.size(F.split("blockers", ","))).cast("int").alias("n_blockers"))
+
+
+@query(f"with {S.FILE_SQL}, e as (select kind, min(size_bytes) lo, max(size_bytes) hi from fil where read_status = 'reviewed' and size_bytes is not null and kind is not null group by 1) select fil.kind, e.lo as low, e.hi as high, count(*) filter (size_bytes < e.lo or size_bytes > e.hi) as n_outside, count(*) as n_files from fil join e using (kind) group by all")
+def size_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes that reviewed files of a kind have, and how many files of the kind lie outside of them."""
+    fil = S.files(spark, sf_dir, "kind", "read_status", "size_bytes").where("kind is not null")
+    seen = fil.where("read_status = 'reviewed' and size_bytes is not null").groupBy("kind").agg(F.min("size_bytes").alias("low"), F.max("size_bytes").alias("high"))
+    return fil.join(seen, "kind").groupBy("kind", "low", "high").agg(F.count_if((F.col("size_bytes") < F.col("low")) | (F.col("size_bytes") > F.col("high"))).alias("n_outside"), F.count("*").alias("n_files"))

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from cairnwork.operators import ownership as O
-from cairnwork.operators.joins import best_token_overlap
+from cairnwork.operators.joins import best_token_overlap, phrase_mentions
 
 
 def related(p, q):
@@ -46,3 +46,10 @@ def test_hot_words_make_no_pairs(spark):
     want = {(a, min(b for b in right if shared(a, b) == n), n) for a, (n, _, _) in want.items() if n}
     for limit in (10_000, 12, 0):
         assert {tuple(r) for r in best_token_overlap(frame(left, "l"), "l", frame(right, "r"), "r", hot_names=limit).collect()} == want
+
+
+def test_phrases(spark):
+    texts = spark.createDataFrame([(1, "The file-lock, and FILE  lock again."), (2, "file a lock; lock"), (3, None), (4, ""), (1, "file lock"), (5, "profile lock file")], "id int, t string")
+    needles = spark.createDataFrame([("file_lock",), ("Lock",), ("file_lock",), (None,), ("--",), ("lock and file",), ("lock again x",)], "n string")
+    assert {tuple(r) for r in phrase_mentions(texts, "id", "t", needles, "n").collect()} == {(1, "file_lock"), (1, "Lock"), (2, "Lock"), (5, "Lock"), (1, "lock and file")}
+    assert phrase_mentions(texts.limit(0), "id", "t", needles, "n").collect() == []
