@@ -87,7 +87,8 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: float | None = None
     The mix holds the documents with `repeats`, how often each is in it: `repeats` is the same for all
     documents of a source but for one more below the source's hash threshold, and never above its cap. The
     report holds, for each target, the share wanted and reached (0 for a source without tokens; null
-    shares of an empty mix), and what it was made of. Documents of sources without a target, or without a
+    shares of an empty mix), what it was made of, and whether the source `binds`: all that its cap allows is in the
+    mix, so that it holds the size of the mix down. Documents of sources without a target, or without a
     source, stay out; so do documents with 0 repeats. Null token counts are 0. No sort, no window.
     """
     wanted = materialise(targets.where("source is not null"))
@@ -99,7 +100,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: float | None = None
     plan_sizes(plans, total)
     thresholds(hashed, plans)
     spark = sized.sparkSession
-    rules = spark.createDataFrame([(p.source, p.share, p.max_repeats, p.full, p.threshold, p.tokens, p.docs) for p in plans], "source string, target_share double, max_repeats int, _full int, _threshold bigint, tokens_available bigint, docs_available bigint")
+    rules = spark.createDataFrame([(p.source, p.share, p.max_repeats, p.full, p.threshold, p.tokens, p.docs, 0 < p.max_repeats * p.tokens <= p.want * (1 + 1e-9)) for p in plans], "source string, target_share double, max_repeats int, _full int, _threshold bigint, tokens_available bigint, docs_available bigint, binds boolean")
     copies = F.col("_full") + (F.col("h") < F.col("_threshold")).cast("int")
     mix = hashed.join(F.broadcast(rules), "source").select("doc_id", "source", "n_tokens", copies.alias("repeats")).where("repeats > 0")
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_in_mix"), F.count("*").alias("docs_in_mix"), F.max("repeats").alias("most_repeats"))
@@ -107,5 +108,5 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: float | None = None
     total_tokens = report.agg(F.sum("tokens_in_mix").alias("_total"))
     report = report.crossJoin(F.broadcast(total_tokens))  # one row
     in_mix = F.coalesce("tokens_in_mix", F.lit(0))
-    report = report.select("source", "target_share", F.try_divide(in_mix, F.col("_total")).alias("actual_share"), "max_repeats", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "docs_available", F.coalesce("docs_in_mix", F.lit(0)).alias("docs_in_mix"), "tokens_available", in_mix.alias("tokens_in_mix"))
+    report = report.select("source", "target_share", F.try_divide(in_mix, F.col("_total")).alias("actual_share"), "max_repeats", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "docs_available", F.coalesce("docs_in_mix", F.lit(0)).alias("docs_in_mix"), "tokens_available", in_mix.alias("tokens_in_mix"), "binds")
     return mix, report

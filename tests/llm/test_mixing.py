@@ -32,6 +32,7 @@ def test_shares_and_caps(spark):
         assert report[s]["tokens_in_mix"] == sum(n * repeats.get(i, 0) for i, n in own)
         assert abs(report[s]["tokens_in_mix"] / total - share / weight) < 401 / total + 1e-9
         assert report[s]["tokens_available"] == sum(n for _, n in own)
+    assert any(r["binds"] for r in report.values()) and not report["absent"]["binds"]
     assert report["absent"]["tokens_in_mix"] == 0 and report["absent"]["actual_share"] == 0
     assert not {i for i, s, _, _ in docs if s in ("other", None)} & repeats.keys()
     assert mix.columns == ["doc_id", "source", "n_tokens", "repeats"]
