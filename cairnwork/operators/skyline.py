@@ -18,15 +18,14 @@ def front_of_two(df: DataFrame, group: Sequence[str], maximise: str, minimise: s
     """The rows of each group that no other row of it dominates, for two objectives; equal rows are all kept.
     Rows with a null objective do not compete.
 
-    Distinct score pairs are cut by the first objective into slices; the best second objective of the
+    Distinct score pairs are cut at quantiles of the first objective into slices; the best second objective of the
     better slices (one number a slice) is carried over, so a task ranks one slice of a group, however large
     the group is.
     """
     scored = df.where(F.col(maximise).isNotNull() & F.col(minimise).isNotNull())
     points = scored.groupBy(*group, maximise).agg(F.min(minimise).alias("_y"))  # others of the same first objective are dominated
-    bounds = points.groupBy(*group).agg(F.min(maximise).alias("_lo"), F.max(maximise).alias("_hi"))
-    place = F.coalesce(F.try_divide(F.col(maximise) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    cut = points.join(bounds, list(group)).withColumn("_slice", F.least(F.floor(place * slices), F.lit(slices - 1)).cast("int")).drop("_lo", "_hi")
+    bounds = points.groupBy(*group).agg(F.percentile_approx(maximise, [i / slices for i in range(1, slices)], 100 * slices).alias("_cuts"))
+    cut = points.join(bounds, list(group)).withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(maximise))), F.lit(0))).drop("_cuts")
     best = cut.groupBy(*group, "_slice").agg(F.min("_y").alias("_b"))
     ahead = best.withColumn("_ahead", F.min("_b").over(W.partitionBy(*group).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1))).select(*group, "_slice", "_ahead")
     inside = cut.join(ahead, [*group, "_slice"]).withColumn("_near", F.min("_y").over(W.partitionBy(*group, "_slice").orderBy(F.desc(maximise)).rowsBetween(W.unboundedPreceding, -1)))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnwork.session import broadcast_if_small, materialise, stored
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """The first row of each key in `order` (a total order: give a tie-break). Folded by an aggregation, so a
@@ -26,17 +28,36 @@ def stratified_sample(df: DataFrame, stratum: str, id_: Column, per_stratum: int
     return local.withColumn("_rn", F.row_number().over(W.partitionBy(stratum).orderBy("_mix", "_id"))).where(F.col("_rn") <= per_stratum).drop("_mix", "_part", "_id", "_rn")
 
 
+def _sliced(df: DataFrame, group: str, order: Sequence[str], carried: Sequence[Column]) -> DataFrame:
+    """`df` in slices of its order (`_part`), which a sample of the rows cuts to even sizes, with what earlier slices of
+    the group carry over: aggregates `carried`, given as columns with an alias, of each slice before. A window over
+    (group, slice) then sorts one slice, however large the group is."""
+    parts = stored(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    names = [f"_c{i}" for i in range(len(carried))]
+    each = parts.groupBy(F.col(group).alias("_g"), "_part").agg(*(c.alias(n) for c, n in zip(carried, names)))
+    earlier = W.partitionBy("_g").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    told = each.select("_g", F.col("_part").alias("_p"), *(F.collect_list(F.struct(n)).over(earlier).alias(n) for n in names))
+    return parts.join(broadcast_if_small(materialise(told)), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))).drop("_g", "_p")
+
+
 def chain_breaks(df: DataFrame, group: str, seq: str, link: str, digest: str) -> DataFrame:
-    """Rows of a hash chain whose `link` is not the `digest` of the row before (the first row's link is null)."""
-    w = W.partitionBy(group).orderBy(seq)
-    return df.withColumn("_prev", F.lag(digest).over(w)).where(~F.col(link).eqNullSafe(F.col("_prev"))).drop("_prev")
+    """Rows of a hash chain whose `link` is not the `digest` of the row before (the first row's link is null). Long
+    chains are cut into slices, which pass their last digest on."""
+    rows = _sliced(df, group, [seq], [F.max_by(F.struct(digest), seq)])
+    inside = W.partitionBy(group, "_part").orderBy(seq)
+    before = F.coalesce(F.lag(F.struct(digest)).over(inside), F.element_at(F.when(F.size("_c0") > 0, F.col("_c0")), -1)["_c0"])
+    return rows.withColumn("_prev", before).where(~F.col(link).eqNullSafe(F.col(f"_prev.{digest}"))).select(*df.columns)
 
 
 def tiling_defects(ranges: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Ranges that do not begin where all before end, with `defect` (hole or overlap) and by how much."""
-    w = W.partitionBy(group).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
-    gap = F.col(start) - F.coalesce(F.max(end).over(w), F.lit(0))
-    return ranges.withColumn("size", gap).where("size <> 0").withColumn("defect", F.when(F.col("size") > 0, "hole").otherwise("overlap")).withColumn("size", F.abs("size"))
+    """Ranges that do not begin where all before end, with `defect` (hole or overlap) and by how much. Groups with many
+    ranges are cut into slices, which pass their greatest end on."""
+    rows = _sliced(ranges, group, [start, end], [F.max(end)])
+    inside = W.partitionBy(group, "_part").orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
+    reached = F.greatest(F.max(end).over(inside), F.array_max(F.transform("_c0", lambda x: x["_c0"])))
+    gap = F.col(start) - F.coalesce(reached, F.lit(0))
+    sized = rows.withColumn("size", gap).select(*ranges.columns, "size").where("size <> 0")
+    return sized.withColumn("defect", F.when(F.col("size") > 0, "hole").otherwise("overlap")).withColumn("size", F.abs("size"))
 
 
 def shares(df: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
@@ -46,9 +67,12 @@ def shares(df: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> Da
 
 
 def admit_within_budget(queue: DataFrame, lane: str, order: Sequence[str], size: str, budget: float) -> DataFrame:
-    """The queue with `total` (running sum in its lane) and whether the row still fits the budget."""
-    w = W.partitionBy(lane).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return queue.withColumn("total", F.sum(size).over(w)).withColumn("admitted", F.col("total") <= budget)
+    """The queue with `total` (running sum in its lane) and whether the row still fits the budget. Long lanes are cut
+    into slices, which pass their sums on."""
+    rows = _sliced(queue, lane, order, [F.sum(size)])
+    inside = W.partitionBy(lane, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = F.aggregate("_c0", F.lit(0).cast(dict(rows.select(F.sum(size).alias("s")).dtypes)["s"]), lambda a, x: F.coalesce(a + x["_c0"], a))
+    return rows.withColumn("total", before + F.sum(size).over(inside)).withColumn("admitted", F.col("total") <= budget).select(*queue.columns, "total", "admitted")
 
 
 def adjacent_changes(df: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:

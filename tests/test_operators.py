@@ -191,3 +191,31 @@ def test_ranks(spark):
     df = table(spark, [("OBSERVED",), ("UNKNOWN",), ("odd",), (None,)], "s string")
     assert df.agg(R.strongest(R.STRENGTH, F.col("s"))).first()[0] == "OBSERVED"
     assert df.where("s <> 'odd' and s is not null").agg(R.weakest(R.COVERAGE, F.col("s"))).first()[0] == "UNKNOWN"
+
+
+def test_one_hot_group_in_slices(spark):
+    """Windows over slices of a group's order give what windows over the whole group would."""
+    rnd = random.Random(21)
+    rows = [("hot" if i % 10 else None, i, rnd.randint(0, 5000), rnd.randint(1, 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, id int, s int, size int").withColumn("e", F.col("s") + F.col("size"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["total"] for r in X.admit_within_budget(df, "g", ["s", "id"], "size", 100).collect()}
+        holes = {(r["id"], r["size"] if r["defect"] == "hole" else -r["size"]) for r in X.tiling_defects(df.where("g is not null"), "g", "s", "e").collect()}
+        link = df.withColumns({"seq": F.col("id"), "link": F.when(F.col("id") % 7 == 0, -1).otherwise(F.col("id") - F.when(F.col("id") % 10 == 1, 2).otherwise(1)), "digest": F.col("id")}).where("g is not null")
+        breaks = {r["id"] for r in X.chain_breaks(link, "g", "seq", "link", "digest").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for g in ("hot", None):
+        total = 0
+        for _, i, s, n in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])):
+            total += n
+            want[i] = total
+    assert got == want
+    reached, seen = 0, {}
+    for _, i, s, n in sorted((r for r in rows if r[0]), key=lambda r: (r[2], r[2] + r[3])):
+        seen.setdefault((s, s + n), []).append((i, s - reached))
+        reached = max(reached, s + n)
+    assert sorted(x for _, x in holes) == sorted(gap for v in seen.values() for _, gap in v if gap)
+    assert breaks == {i for i in range(600) if i % 10 and (i % 7 == 0 or i == 1)}
