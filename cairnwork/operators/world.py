@@ -87,16 +87,20 @@ def strip_generics(c: Column) -> Column:
     return F.substring_index(c, "<", 1)
 
 
-def resolve(world: World, selector: str) -> Scope:
-    """The functions, files and subsystems that `subsystem:`, `path:`, `fn:` (name or Owner::name) or `state:`
-    names; a bare selector is a subsystem if there is one of that name, else a path."""
+def resolve(world: World, selector: str, provided: DataFrame | None = None) -> Scope:
+    """The functions, files and subsystems that `subsystem:`, `path:`, `fn:` (name or Owner::name), `state:` or
+    `capability:` names (what `provided`, capability and subsystem, says provides it); a bare selector is a subsystem if there is one of that name, else a path."""
     kind, sep, value = selector.partition(":")
-    if not sep or kind not in ("subsystem", "path", "fn", "state"):
+    if not sep or kind not in ("subsystem", "path", "fn", "state", "capability"):
         kind = "path" if world.functions.where(F.col("subsystem") == selector).isEmpty() else "subsystem"
         value = selector
     f = world.functions
     if kind == "subsystem":
         mine = f.where(F.col("subsystem") == value)
+    elif kind == "capability":
+        if provided is None:
+            raise UnknownSelector(f"nothing tells what provides `{value}`")
+        mine = f.join(provided.where(F.col("capability") == value).select("subsystem").distinct(), "subsystem", "left_semi")
     elif kind == "path":
         root = value.rstrip("/")
         mine = f.where((F.col("path") == root) | F.col("path").startswith(root + "/"))

@@ -123,8 +123,10 @@ _UNDERSTAND = f"""with recursive {_W}, {_INV}, raw as (select 'INVOKES' as kind,
     union all select 'invariant', id, 1 from ({_BORNE}) union all select 'unknown', dimension, n_unknown from ({ORACLES["lens_unknowns"]}) where n_unknown > 0
     union all select 'frontier', coalesce(subsystem, '-'), count(*) from r left join fn on fn.id = r.node where depth > 0 and k = 0 group by 2 union all select 'total', 'functions', count(*) from sa)
   select section, item, n::bigint as n from whole qualify row_number() over (partition by section order by n desc, item) <= 12"""
-_HYPOTHESIS = f"""with {_W}, f as (select count(*) n from kn where kind = 'writes' and src in (from sa)), c as (select coalesce(bool_and(status = 'verified'), false) and count(*) > 0 as ok from fn where file_path in (select file_path from fn where subsystem = 'vantor-core'))
-  select h as hypothesis, case when f.n > 0 then yes when c.ok then no else 'STILL_HYPOTHESIZED' end as outcome from f, c, (values ('effect', 'VALIDATED', 'FALSIFIED'), ('never', 'FALSIFIED', 'VALIDATED')) v(h, yes, no)"""
+_HYPOTHESIS = f"""with {_W}, c as (select coalesce(bool_and(status = 'verified'), false) and count(*) > 0 as ok from fn where file_path in (select file_path from fn where subsystem = 'vantor-core')),
+  f as (select 'effect' as h, count(*) n, 'VALIDATED' as yes, 'FALSIFIED' as no from kn where kind = 'writes' and src in (from sa) union all select 'never', count(*), 'FALSIFIED', 'VALIDATED' from kn where kind = 'writes' and src in (from sa)
+    union all select 'writes-only', count(*), 'FALSIFIED', 'VALIDATED' from kn where kind = 'writes' and src in (from sa) and dst not in (from sa) union all select 'never-invokes', count(*), 'FALSIFIED', 'VALIDATED' from kn where kind = 'calls' and src in (from sa) and dst in (from sb))
+  select h as hypothesis, case when f.n > 0 then yes when c.ok then no else 'STILL_HYPOTHESIZED' end as outcome from f, c"""
 _RULES = f"""with {_W}, un as (select src id, regexp_extract(dst, ':([^#]*)', 1) as name from aedge where kind = 'calls' and src is not null and dst is not null and dst not in (select id from fn)),
   ef as (select distinct fn.id, fn.subsystem s, upper(kn.kind) c from kn join fn on fn.id = kn.src where kn.kind in ('reads', 'writes', 'calls')),
   facts as (select 'core-writes-nothing' as rule, id as fact, 2 v from ef where s = 'vantor-core' and c = 'WRITES' group by 2 union all select 'core-writes-nothing', id, 1 from fn where subsystem = 'vantor-core' and id in (select id from un)
@@ -204,12 +206,17 @@ def lens_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_named("lens_hypothesis", _HYPOTHESIS)
 def lens_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does the core write to a store? Does it never?"""
+    """Does the core write to a store? Does it never? Does it write to its own nodes alone? Does it never call the
+    ledger?"""
     w = architecture_world(spark, sf_dir)
     scope = L.resolve(w, _A)
     found = L.inside(w.effects.where("category = 'WRITES'"), "function", scope)
     covered = L.inside(w.coverage, "path", scope, "components").select((F.col("status") == "OBSERVED").alias("observed"))
-    rows = [("effect", C.hypothesis_outcome(found, covered, False)), ("never", C.hypothesis_outcome(found, covered, True))]
+    own = scope.functions.select(F.col("id").alias("key"))
+    elsewhere = L.inside(w.state.where("role = 'write'"), "function", scope).join(own, "key", "left_anti")
+    calls = L.inside(L.inside(w.relations.where("kind = 'INVOKES'"), "src", scope), "dst", L.resolve(w, _B))
+    asked = (("effect", found, False), ("never", found, True), ("writes-only", elsewhere, True), ("never-invokes", calls, True))
+    rows = [(name, C.hypothesis_outcome(df, covered, refutes)) for name, df, refutes in asked]
     return spark.createDataFrame(rows, "hypothesis string, outcome string")
 
 
@@ -272,3 +279,12 @@ def census_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     coverage = w.functions.select(F.col("id").alias("function"), F.col("subsystem").alias("scope"), (F.col("unresolved") == 0).alias("observed"))
     rules = [C.parse_rule(n, t) for n, t in (("core-writes-nothing", "forall f: function in vantor-core forbid effect WRITES"), ("cli-calls-no-vault", "forall f: function in vantor-cli forbid call to vantor-vault"), ("mail-effects", "forall f: function in vantor-mail observed effect within READS, CALLS"), ("bench-is-pure", "forall f: function in vantor-bench observed effect within none"))]
     return C.evaluate(rules, w.functions.select(F.col("id").alias("name"), F.col("owner_type").alias("kind"), F.create_map(F.lit("path"), F.col("path")).alias("attributes")), effects=effects, calls=calls, coverage=coverage)
+
+
+@_named("lens_by_capability", f"with {S.CAP_SQL}, {_W}, c as (select target_crate t from cap where target_crate in (select subsystem from fn) order by cap_key limit 1), sc as (select id from fn where subsystem = (select t from c)) select upper(kind) as category, count(*) as n_sites, case when bool_or(evidence_ref is not null) then 'OBSERVED' else 'INFERRED' end as strongest, count(distinct src) as n_functions from kn where kind in ('reads', 'writes', 'calls') and src in (from sc) group by 1")
+def lens_by_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects of what provides a capability, here the first that anything provides."""
+    w = architecture_world(spark, sf_dir)
+    provided = S.capabilities(spark, sf_dir, "target_crate").where("target_crate is not null").select(F.col("cap_key").alias("capability"), F.col("target_crate").alias("subsystem"))
+    there = provided.join(w.functions.select("subsystem").distinct(), "subsystem", "left_semi").agg(F.min("capability").alias("c")).first()["c"]
+    return L.effects(w, L.resolve(w, f"capability:{there}", provided))
