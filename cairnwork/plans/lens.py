@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,12 @@ def architecture_world(spark: SparkSession, sf_dir: str, dependencies: bool = Fa
     """Nodes are functions, files components, crates subsystems. Calls invoke, and supply data; reads and writes
     touch the state of the node they lead to; what owns encloses, what guards dispatches. Dependencies between
     crates, and the invariants that follow, are composed only for questions that need them."""
+    with ThreadPoolExecutor(1) as pool:  # the dependencies need nothing of the rest: cores that one waits for serve the other
+        found = pool.submit(inheritable_thread_target(lambda: materialise(P.reconcile_three_way(spark, sf_dir)))) if dependencies else None
+        return _composed(spark, sf_dir, until, lambda: found.result() if found else spark.createDataFrame([], "src string, dst string, declared boolean, built boolean, calls bigint, verdict string"))
+
+
+def _composed(spark: SparkSession, sf_dir: str, until: str | None, dependencies: Callable[[], DataFrame]) -> L.World:
     nodes, edges = S.architecture(spark, sf_dir, until)
     nodes, edges = materialise(nodes), materialise(edges.where("src is not null and dst is not null"))
     sub = F.lower(F.trim("crate"))
@@ -36,11 +46,11 @@ def architecture_world(spark: SparkSession, sf_dir: str, dependencies: bool = Fa
     effects = known.where("kind in ('reads', 'writes', 'calls')").select(F.col("src").alias("function"), F.upper("kind").alias("category"), status.alias("status"), F.col("dst").alias("label"))
     stand = F.when(F.col("status") == "verified", "OBSERVED").when(F.col("status") == "planned", "UNKNOWN").when(F.col("status") == "blocked", "UNSUPPORTED").otherwise("DERIVED")
     coverage = nodes.where("file_path is not null").select(F.col("file_path").alias("path"), F.upper("kind").alias("dimension"), stand.alias("status"))
-    deps = P.reconcile_three_way(spark, sf_dir) if dependencies else spark.createDataFrame([], "src string, dst string, declared boolean, built boolean, calls bigint, verdict string")
+    deps = dependencies()
     invariants = deps.where("verdict = 'CONFIRMED'").select(F.concat_ws(":", F.lit("INV-DEPENDENCY"), "src", "dst").alias("id"), F.lit("DEPENDENCY").alias("kind"), F.lit("DERIVED").alias("status"), F.array("src", "dst").alias("scope"), F.array().cast("array<string>").alias("evidence"))
     writers = state.where("role = 'write'").select(F.concat_ws(":", F.lit("INV-STATE"), "key").alias("id"), F.lit("STATE").alias("kind"), F.lit("INFERRED").alias("status"), F.array().cast("array<string>").alias("scope"), F.array("function").alias("evidence"))
     spelled = missing.groupBy(F.col("src").alias("function"), F.regexp_extract("dst", ":([^#]*)", 1).alias("name")).agg(F.count("*").alias("n"))
-    return L.World(functions, relations, effects, state, coverage, materialise(deps), materialise(invariants.unionByName(writers)), spelled)
+    return L.World(functions, relations, effects, state, coverage, deps, invariants.unionByName(writers), spelled)
 
 
 #: The time at which the world before a change is seen.
