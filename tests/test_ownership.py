@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from cairnwork.operators import joins
 from cairnwork.operators import ownership as O
 from cairnwork.operators.joins import best_token_overlap, phrase_mentions
 
@@ -53,3 +55,31 @@ def test_phrases(spark):
     needles = spark.createDataFrame([("file_lock",), ("Lock",), ("file_lock",), (None,), ("--",), ("lock and file",), ("lock again x",)], "n string")
     assert {tuple(r) for r in phrase_mentions(texts, "id", "t", needles, "n").collect()} == {(1, "file_lock"), (1, "Lock"), (2, "Lock"), (5, "Lock"), (1, "lock and file")}
     assert phrase_mentions(texts.limit(0), "id", "t", needles, "n").collect() == []
+
+
+def shuffled_bytes(plan):
+    """Bytes that the exchanges of a plan that has run wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_bytes(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_bytes(plan.plan())
+    below = plan.children()
+    own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_bytes(below.apply(i)) for i in range(below.size()))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_phrases_move_no_texts(spark, monkeypatch, broadcast):
+    """With few phrases or with so many that they join by shuffle."""
+    if not broadcast:
+        monkeypatch.setattr(joins, "broadcast_if_small", lambda df: df)
+    rnd = random.Random(4)
+    bodies = [[f"w{rnd.randint(0, 2000)}" for _ in range(500)] for _ in range(40)]
+    phrases = [["w7"], ["w7", "w7"], ["none", "such"], *(b[k : k + n] for b, k, n in zip(bodies, (0, 9, 498, 495, 100), (1, 2, 2, 5, 12)))]
+    texts = spark.createDataFrame([(i, ", ".join(b).upper()) for i, b in enumerate(bodies)] + [(0, None), (1, "--")], "id int, t string")
+    got = phrase_mentions(texts, "id", "t", spark.createDataFrame([("_".join(p),) for p in phrases], "n string"), "n")
+    holds = lambda b, p: any(b[k : k + len(p)] == p for k in range(len(b)))
+    assert {tuple(r) for r in got.collect()} == {(i, "_".join(p)) for i, b in enumerate(bodies) for p in phrases if holds(b, p)}
+    assert shuffled_bytes(got._jdf.queryExecution().executedPlan()) < sum(len(" ".join(b)) for b in bodies)
+    assert phrase_mentions(texts, "id", "t", spark.createDataFrame([(None,), ("-",)], "n string"), "n").collect() == []
