@@ -6,23 +6,194 @@ paired so that the number of differing fields, summed over all pairs, is least.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnwork.session import broadcast_if_small, materialise, stored
+from cairnwork.session import materialise
 
-#: Left classes times right classes of one key that one task pairs: 20,000 on each side.
+#: Left classes times right classes of one key beyond which costs are looked up by shared values, not in a matrix.
 PAIR_WORK = 20_000 * 20_000
+#: Memberships of classes in groups of equal values that a task keeps, and those that it looks at together.
+_MEMBERS, _PIECE = 1 << 24, 1 << 20
 #: Bytes of the cost matrix that a task keeps; larger ones are computed row by row.
 _KEPT = 64 << 20
+_FAR = np.iinfo(np.int64).max
 
 
-def min_cost_pairs(left: list[tuple], right: list[tuple]) -> list[tuple[int, int, int]]:
+class _Matrix:
+    """Costs by comparing each row with all columns; time goes with rows times columns times fields."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a, self.b, (self.n, self.fields), self.m = a, b, a.shape, b.shape[1]
+        self.step = step = max(1, (1 << 22) // self.m)
+        self.kept = None
+        if self.n * self.m <= _KEPT and self.fields < 128:
+            self.kept = np.concatenate([self._block(np.arange(i, min(i + step, self.n))).astype(np.int8) for i in range(0, self.n, step)])
+
+    def _block(self, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), self.m), np.int16)
+        for f in range(self.fields):
+            out += self.a[which, f][:, None] != self.b[f][None, :]
+        return out
+
+    def _costs(self, which: np.ndarray) -> np.ndarray:
+        return self.kept[which] if self.kept is not None else self._block(which)
+
+    def least(self) -> np.ndarray:
+        return np.concatenate([self._costs(np.arange(i, min(i + self.step, self.n))).min(1) for i in range(0, self.n, self.step)]).astype(np.int64)
+
+    def start_raise(self) -> None:
+        pass
+
+    def relax(self, front: np.ndarray, u: np.ndarray, v: np.ndarray, level: int, key: np.ndarray) -> None:
+        """Lower `key` of each column to its reduced cost from the rows in front, plus the level."""
+        for i in range(0, len(front), self.step):
+            part = front[i : i + self.step]
+            np.minimum(key, (self._costs(part) - u[part][:, None]).min(0) - v + level, out=key)
+
+    def start_fill(self, u: np.ndarray, v: np.ndarray, free: np.ndarray, entered: np.ndarray) -> None:
+        self.u, self.v, self.free, self.entered, self.row = u, v, free, entered, -1
+
+    def _first(self, row: int, also: np.ndarray) -> int:
+        if row != self.row:
+            self.row, self.good = row, (self._costs(np.array([row]))[0] - self.u[row] - self.v) == 0
+        j = int((at := self.good & also).argmax())
+        return j if at[j] else -1
+
+    def first_free(self, row: int) -> int:
+        """The first column at no reduced cost that has room, or -1."""
+        return self._first(row, self.free > 0)
+
+    def first_open(self, row: int) -> int:
+        """The first column at no reduced cost that is not entered, or -1."""
+        return self._first(row, ~self.entered)
+
+
+def _pieces(starts: np.ndarray, which: np.ndarray) -> Iterator[np.ndarray]:
+    """`which` in parts that hold about _PIECE memberships each."""
+    held = np.cumsum(starts[which + 1] - starts[which])
+    cuts = np.searchsorted(held, np.arange(_PIECE, held[-1] if len(held) else 0, _PIECE))
+    return (part for part in np.split(which, np.unique(cuts)) if len(part))
+
+
+def _ranges(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions from starts[w] up to starts[w + 1] for each w, and how many each w has."""
+    counts = starts[which + 1] - starts[which]
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1]) + np.repeat(starts[which] - ends + counts, counts), counts
+
+
+def _starts(of: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
+
+
+class _Shared:
+    """The same costs by groups: for each set of fields the rows and columns that agree in all of them. A row and a
+    column cost as many fields as there are, less those of the largest set in which they share a group. A group without
+    a row or without a column is left out. Time and memory go with the memberships, not with rows times columns."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, members: int) -> None:
+        (self.n, fields), self.m = a.shape, b.shape[1]
+        ids = lambda k: np.arange(k, dtype=np.int32)
+        todo, parts, base, offset = [(0, 0, ids(self.n), np.zeros(self.n, np.int32), ids(self.m), np.zeros(self.m, np.int32), 1)], [], [], 0
+        while todo:
+            f, size, rows, rg, cols, cg, count = todo.pop()
+            members -= len(rows) + len(cols)
+            if members < 0:
+                raise OverflowError
+            parts.append((rows, rg + offset, cols, cg + offset))
+            base.append(np.full(count, fields - size, np.int64))  # what a row and a column cost that share this group and no larger one
+            offset += count
+            for g in range(f, fields):
+                values = np.concatenate([rg, cg]).astype(np.int64) << 32 | np.concatenate([a[rows, g], b[g, cols]])
+                seen, group = np.unique(values, return_inverse=True)
+                r, c = group[: len(rows)], group[len(rows) :]
+                both = (np.bincount(r, minlength=len(seen)) > 0) & (np.bincount(c, minlength=len(seen)) > 0)
+                if both.any():
+                    name, kr, kc = (np.cumsum(both) - 1).astype(np.int32), both[r], both[c]
+                    todo.append((g + 1, size + 1, rows[kr], name[r[kr]], cols[kc], name[c[kc]], int(both.sum())))
+        self.base = np.concatenate(base)
+        rows, rg, cols, cg = (np.concatenate(p) for p in zip(*parts))
+        del parts
+        self.row_groups, self.row_starts = rg[np.argsort(rows, kind="stable")], _starts(rows, self.n)
+        order = np.argsort(cg, kind="stable")
+        self.columns, self.group_of, self.col_starts = cols[order], cg[order], _starts(cg, offset)
+
+    def least(self) -> np.ndarray:
+        return np.minimum.reduceat(self.base[self.row_groups], self.row_starts[:-1])  # each row is in the group of all
+
+    def start_raise(self) -> None:
+        self.best = np.full(len(self.base), _FAR)
+
+    def relax(self, front: np.ndarray, u: np.ndarray, v: np.ndarray, level: int, key: np.ndarray) -> None:
+        lowered = [np.zeros(0, np.int32)]
+        for part in _pieces(self.row_starts, front):
+            at, counts = _ranges(self.row_starts, part)
+            groups = self.row_groups[at]
+            values = self.base[groups] - np.repeat(u[part], counts) + level
+            lower = values < self.best[groups]
+            np.minimum.at(self.best, groups[lower], values[lower])
+            lowered.append(np.unique(groups[lower]))
+        for part in _pieces(self.col_starts, np.unique(np.concatenate(lowered))):
+            at, counts = _ranges(self.col_starts, part)
+            cols = self.columns[at]
+            np.minimum.at(key, cols, np.repeat(self.best[part], counts) - v[cols])
+
+    def start_fill(self, u: np.ndarray, v: np.ndarray, free: np.ndarray, entered: np.ndarray) -> None:
+        """Columns of a group in lists, one for each potential; of a row the lists whose columns cost it nothing more."""
+        low, wide = int(v.min()), int(v.max() - v.min()) + 1
+        names = self.group_of.astype(np.int64) * wide + (v[self.columns] - low)
+        order = np.lexsort((self.columns, names))
+        self.sorted = memoryview(self.columns[order])
+        lists, starts = np.unique(names[order], return_index=True)
+        self.ends = memoryview(np.append(starts[1:], len(names)))
+        self.at_free, self.at_open = memoryview(starts.copy()), memoryview(starts.copy())
+        own, counts = [], np.zeros(self.n, np.int64)
+        for part in _pieces(self.row_starts, np.arange(self.n)):
+            at, each = _ranges(self.row_starts, part)
+            row, groups = np.repeat(part, each), self.row_groups[at]
+            want = self.base[groups] - u[row] - low
+            name = groups.astype(np.int64) * wide + want
+            place = np.minimum(np.searchsorted(lists, name), len(lists) - 1)
+            there = (want >= 0) & (want < wide) & (lists[place] == name)
+            own.append(place[there])
+            counts += np.bincount(row[there], minlength=self.n)
+        self.own, self.own_starts = np.concatenate(own), np.concatenate([[0], np.cumsum(counts)])
+        self.free, self.entered = memoryview(free), memoryview(entered)
+
+    def _first(self, row: int, heads: memoryview, passed: Callable[[int], bool]) -> int:
+        found = -1
+        for k in self.own[self.own_starts[row] : self.own_starts[row + 1]].tolist():
+            at, end = heads[k], self.ends[k]
+            while at < end and passed(self.sorted[at]):
+                at += 1
+            heads[k] = at
+            if at < end and (found < 0 or self.sorted[at] < found):
+                found = self.sorted[at]
+        return found
+
+    def first_free(self, row: int) -> int:
+        return self._first(row, self.at_free, lambda j: self.free[j] == 0)
+
+    def first_open(self, row: int) -> int:
+        return self._first(row, self.at_open, self.entered.__getitem__)
+
+
+def _costs(a: np.ndarray, b: np.ndarray, matrix: int) -> _Matrix | _Shared:
+    if len(a) * b.shape[1] > matrix:
+        try:
+            return _Shared(a, b, _MEMBERS)
+        except OverflowError:  # so many fields agree in so many ways that a matrix, row by row, takes less
+            pass
+    return _Matrix(a, b)
+
+
+def min_cost_pairs(left: list[tuple], right: list[tuple], matrix: int = PAIR_WORK) -> list[tuple[int, int, int]]:
     """Pair two bags of field vectors at the least total number of differing fields.
 
     `left` and `right` hold (count, values). Returns (left index, right index, pairs); as many rows are
@@ -31,8 +202,8 @@ def min_cost_pairs(left: list[tuple], right: list[tuple]) -> list[tuple[int, int
     A minimum-cost assignment with multiplicities, primal-dual: shortest distances from all rows that are still
     alone raise the potentials until some place is free at no reduced cost; then alternating paths are
     filled until none is left at that level. Costs are whole numbers up to the number of fields, so there are few
-    levels. A level looks at each row's costs a bounded number of times, as vectors over the other side:
-    time goes with left times right classes, memory with their sum, whatever the number of fields.
+    levels. Where left times right classes are more than `matrix`, costs come from groups of equal values instead of a
+    matrix, if memory allows. Either way the same columns are met in the same order, so the pairs are the same.
     """
     if not left or not right:
         return []
@@ -45,30 +216,20 @@ def min_cost_pairs(left: list[tuple], right: list[tuple]) -> list[tuple[int, int
         a[:, f] = [code.setdefault(v[f], len(code)) for _, v in rows]
         b[f] = [code.setdefault(v[f], len(code)) for _, v in cols]
 
-    def block(which: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(which), m), np.int16)
-        for f in range(fields):
-            out += a[which, f][:, None] != b[f][None, :]
-        return out
-
-    step = max(1, (1 << 22) // m)
-    kept = np.concatenate([block(np.arange(i, min(i + step, n))).astype(np.int8) for i in range(0, n, step)]) if n * m <= _KEPT and fields < 128 else None
-    costs = (lambda w: kept[w]) if kept is not None else block
+    costs = _costs(a, b, matrix)
     alone, free = np.array([c for c, _ in rows]), np.array([c for c, _ in cols])
-    u = np.concatenate([costs(np.arange(i, min(i + step, n))).min(1) for i in range(0, n, step)]).astype(np.int64)
+    u = costs.least()
     v = np.zeros(m, np.int64)
     flow: list[dict[int, int]] = [{} for _ in range(m)]  # of each column: rows with their amounts
 
     def raise_potentials() -> None:
-        far = np.iinfo(np.int64).max
-        row_at, col_at, key = np.full(n, -1, np.int64), np.full(m, -1, np.int64), np.full(m, far)
+        row_at, col_at, key = np.full(n, -1, np.int64), np.full(m, -1, np.int64), np.full(m, _FAR)
         level, front = 0, np.flatnonzero(alone)
+        costs.start_raise()
         while True:
             row_at[front] = level
-            for i in range(0, len(front), step):
-                part = front[i : i + step]
-                np.minimum(key, (costs(part) - u[part][:, None]).min(0) - v + level, out=key)
-            open_ = np.where(col_at < 0, key, far)
+            costs.relax(front, u, v, level, key)
+            open_ = np.where(col_at < 0, key, _FAR)
             level = int(open_.min())
             new = np.flatnonzero(open_ == level)
             col_at[new] = level
@@ -82,23 +243,21 @@ def min_cost_pairs(left: list[tuple], right: list[tuple]) -> list[tuple[int, int
     def fill() -> None:
         """Alternating paths at no reduced cost, depth first; no row is used twice in a round without success."""
         entered, used = np.zeros(m, bool), np.zeros(n, bool)
+        costs.start_fill(u, v, free, entered)
         for root in np.flatnonzero(alone):
             while alone[root]:
                 path: list[tuple[int, int]] = []  # (row, the column by which it is left)
                 row = int(root)
                 while True:
                     used[row] = True
-                    good = (costs(np.array([row]))[0] - u[row] - v) == 0
-                    if (end := good & (free > 0)).any():
-                        path.append((row, int(end.argmax())))
+                    if (end := costs.first_free(row)) >= 0:
+                        path.append((row, end))
                         break
-                    good &= ~entered
                     onward = None
-                    while onward is None and good.any():
-                        j = int(good.argmax())
+                    while onward is None and (j := costs.first_open(row)) >= 0:
                         onward = next(((i, j) for i in flow[j] if not used[i]), None)
                         if onward is None:
-                            good[j], entered[j] = False, True
+                            entered[j] = True
                     if onward is not None:
                         path.append((row, onward[1]))
                         row = onward[0]
@@ -135,55 +294,38 @@ def _same(keys: Sequence[str], a: str, b: str) -> Column:
     return reduce(Column.__and__, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys), F.lit(True))
 
 
-def _paired(groups: DataFrame, group: Sequence[str], keys: Sequence[str], fields: Sequence[str], shape: str) -> DataFrame:
-    """`keys`, `_l`, `_r`, `n`: the classes (`_row`, `_net`) of each `group` paired at the least cost, and what is left."""
-    schema = f"{', '.join(f'`{k}` {t}' for k, t in groups.dtypes if k in keys)}, _l {shape}, _r {shape}, n long"
+_NAN = float("nan")
+
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda v: None if v is pd.NA or v != v else v
-        rows = sorted(((r, n, tuple(plain(r[f]) for f in fields)) for r, n in zip(pdf["_row"], pdf["_net"])), key=lambda x: repr(x[2]))
-        ls, rs = [x for x in rows if x[1] > 0], [x for x in rows if x[1] < 0]
+def _paired(groups: DataFrame, keys: Sequence[str], fields: Sequence[str], shape: str, matrix: int) -> DataFrame:
+    """`keys`, `_l`, `_r`, `n`: the classes (`_row`, `_net`) of each key paired at the least cost, and what is left."""
+    types = dict(groups.dtypes)
+    schema = f"{', '.join(f'`{k}` {types[k]}' for k in keys)}, _l {shape}, _r {shape}, n long"
+
+    def once(column: pa.Array) -> list:
+        """The values of a column, equal ones as one object."""
+        same: dict = {}
+        return [_NAN if v != v else same.setdefault(v, v) for v in column.to_pylist()]
+
+    def pair(table: pa.Table) -> pa.Table:
+        row = pa.concat_arrays(table["_row"].chunks)
+        row = row.cast(pa.struct([(f.name, f.type) for f in row.type]))
+        values = list(zip(*(once(row.field(f)) for f in range(len(fields)))))
+        net = table["_net"].to_pylist()
+        order = sorted(range(len(net)), key=lambda i: repr(values[i]))
+        ls, rs = [i for i in order if net[i] > 0], [i for i in order if net[i] < 0]
+        lleft, rleft = [net[i] for i in ls], [-net[i] for i in rs]
         found = []
-        lleft, rleft = [x[1] for x in ls], [-x[1] for x in rs]
-        for i, j, n in min_cost_pairs([(x[1], x[2]) for x in ls], [(-x[1], x[2]) for x in rs]):
-            found.append((ls[i][0], rs[j][0], n))
+        for i, j, n in min_cost_pairs([(net[i], values[i]) for i in ls], [(-net[i], values[i]) for i in rs], matrix):
+            found.append((ls[i], rs[j], n))
             lleft[i] -= n
             rleft[j] -= n
-        found += [(ls[i][0], None, n) for i, n in enumerate(lleft) if n] + [(None, rs[j][0], n) for j, n in enumerate(rleft) if n]
-        head = {k: [pdf[k].iloc[0]] * len(found) for k in keys}
-        return pd.DataFrame(head | {"_l": [x[0] for x in found], "_r": [x[1] for x in found], "n": [x[2] for x in found]})
+        found += [(ls[i], None, n) for i, n in enumerate(lleft) if n] + [(None, rs[j], n) for j, n in enumerate(rleft) if n]
+        left, right, n = (pa.array(x, pa.int64()) for x in zip(*found))
+        first = pa.array(np.zeros(len(found), np.int64))
+        return pa.table({k: table[k].take(first) for k in keys} | {"_l": row.take(left), "_r": row.take(right), "n": n})
 
-    return groups.groupBy(*group).applyInPandas(pair, schema)
-
-
-def _by_chunks(hot: DataFrame, keys: Sequence[str], fields: Sequence[str], shape: str, work: int) -> DataFrame:
-    """Pair the classes of keys that are too many for one task. Rounds, one for each way to cut a key into groups:
-    by all fields but one, then by each single field, then by hash alone until nothing on one side is left.
-    In a round each group, cut further by hash where it is too large, is paired at its least cost by one
-    task; what finds no partner goes to the next round. No row is lost, and as many rows are paired as
-    there can be; the total may exceed the least one (see cost_bounds).
-    """
-    cuts = [[g for g in fields if g != f] for f in fields] if len(fields) > 1 else []
-    cuts += [[f] for f in fields] if len(fields) > 2 else []
-    rest, parts, turn = hot.select(*keys, "_row", "_net"), [], 0
-    while True:
-        cut = cuts[turn] if turn < len(cuts) else []
-        own = [f"_g{i}" for i in range(len(cut))]
-        group = [*keys, *own]
-        tagged = rest.select("*", *(F.col(f"_row.{f}").alias(g) for f, g in zip(cut, own)))
-        sizes = tagged.groupBy(*group).agg((F.count_if(F.col("_net") > 0) * F.count_if(F.col("_net") < 0)).alias("_w"))
-        large = broadcast_if_small(materialise(sizes.where(F.col("_w") > work).withColumn("_cut", F.ceil(F.sqrt(F.col("_w") / work)))))
-        chunk = F.pmod(F.xxhash64("_row", F.lit(turn)), F.coalesce("_cut", F.lit(1)))
-        cutted = tagged.alias("t").join(large.alias("s"), _same(group, "t", "s"), "left").select("t.*", chunk.alias("_chunk"))
-        done = stored(_paired(cutted, [*group, "_chunk"], keys, fields, shape))
-        matched = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-        parts.append(done.where(matched))
-        turn += 1
-        rest = done.where(~matched).select(*keys, F.coalesce("_l", "_r").alias("_row"), F.when(F.col("_l").isNotNull(), F.col("n")).otherwise(-F.col("n")).alias("_net"))
-        if turn > len(cuts):
-            sides = rest.groupBy(*keys).agg(F.count_if(F.col("_net") > 0).alias("a"), F.count_if(F.col("_net") < 0).alias("b"))
-            if sides.where("a > 0 and b > 0").isEmpty():
-                return reduce(DataFrame.unionByName, [*parts, done.where(~matched)]).groupBy(*keys, "_l", "_r").agg(F.sum("n").alias("n"))
+    return groups.select(*keys, "_row", "_net").groupBy(*keys).applyInArrow(pair, schema)
 
 
 def cost_bounds(diff: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -207,8 +349,8 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     Nulls in keys or fields equal nulls. Identical rows cancel as often as both copies have them, inside
     the same aggregation that counts them, so a shuffle carries one row for each distinct row of a copy.
     Keys with one leftover class a side, nearly all, are paired without leaving the JVM. Of other keys a task
-    pairs one at the least cost, as long as its left classes times its right ones are at most `pair_work`; beyond
-    that see _by_chunks. Other columns of the inputs, also ones of the same name in both, are left out.
+    pairs one at the least cost, however many classes it has; `pair_work` (left classes times right ones) only tells from where on
+    costs are looked up in another way, see min_cost_pairs. Other columns of the inputs, also ones of the same name in both, are left out.
     Empty inputs are fine.
     """
     keys, fields = list(keys), list(fields)
@@ -233,18 +375,9 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     ))
     simple = one.select(*keys, F.explode(some).alias("_p")).select(*keys, F.col("_p.l").alias("_l"), F.col("_p.r").alias("_r"), F.col("_p.n").alias("n"))
 
-    pairs, most = simple, sums.where("_cl > 1 or _cr > 1").agg(F.max(F.col("_cl") * F.col("_cr")).alias("most")).first()["most"]
-    if most is not None:  # keys with several leftover classes on a side are few, often none
-        pairs = pairs.unionByName(_crowded(classes, sums, keys, fields, shape, pair_work, most))
+    pairs, many = simple, sums.where("_cl > 1 or _cr > 1").select(*keys)
+    if many.agg(F.count("*").alias("c")).first()["c"]:  # keys with several leftover classes on a side are few, often none
+        crowded = classes.alias("c").join(many.alias("m"), _same(keys, "c", "m"), "left_semi")
+        pairs = pairs.unionByName(_paired(crowded, keys, fields, shape, pair_work))
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     return pairs.select(*keys, F.col("_l").alias("left"), F.col("_r").alias("right"), "n", F.when(both, _differs(fields, "_l", "_r")).otherwise(F.array().cast("array<string>")).alias("differing"))
-
-
-def _crowded(classes: DataFrame, sums: DataFrame, keys: Sequence[str], fields: Sequence[str], shape: str, pair_work: int, most: int) -> DataFrame:
-    """The pairs of keys with several leftover classes on a side; `most`: the greatest product of a key's sides."""
-    many = sums.where("_cl > 1 or _cr > 1").select(*keys, (F.col("_cl") * F.col("_cr")).alias("_work"))
-    crowded = classes.alias("c").join(many.alias("m"), _same(keys, "c", "m")).select("c.*", "m._work")
-    whole = _paired(crowded.where(F.col("_work") <= pair_work), keys, keys, fields, shape)
-    if most <= pair_work:
-        return whole
-    return whole.unionByName(_by_chunks(stored(crowded.where(F.col("_work") > pair_work)), keys, fields, shape, pair_work))

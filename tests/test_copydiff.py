@@ -4,6 +4,7 @@ from itertools import permutations
 
 import pytest
 
+from cairnwork.operators import copydiff
 from cairnwork.operators.copydiff import cost_bounds, diff_copies, min_cost_pairs
 
 SCHEMA = "k string, a string, b string, extra int"
@@ -129,3 +130,35 @@ def test_hot_keys_in_chunks(spark):
     bounds = cost_bounds(got, ["k"], fields).first()
     best = textbook(lo, ro)
     assert bounds["n_pairs"] == paired and bounds["least"] <= best <= bounds["cost"] <= 1.5 * best
+
+
+@pytest.mark.parametrize("members", [1 << 24, 20])
+def test_ways_to_look_up_costs_give_the_same_pairs(monkeypatch, members):
+    """From a matrix, by groups of equal values, and from a matrix where the groups would take too much."""
+    monkeypatch.setattr(copydiff, "_MEMBERS", members)
+    monkeypatch.setattr(copydiff, "_PIECE", 50)
+    rnd = random.Random(11)
+    for _ in range(60):
+        fields, letters = rnd.randint(1, 5), "abcdefgh"[: rnd.randint(1, 8)]
+        bag = lambda n: [(n, v) for v, n in Counter(tuple(rnd.choice(letters) for _ in range(fields)) for _ in range(n)).items()]  # noqa: B023, E731
+        left, right = bag(rnd.randint(0, 60)), bag(rnd.randint(0, 60))
+        assert min_cost_pairs(left, right, matrix=0) == min_cost_pairs(left, right)
+
+
+def test_size_does_not_change_the_result(spark):
+    """The least cost and the same pairs, whether a key's classes are few or many by `pair_work`."""
+    rnd = random.Random(3)
+    fields = ["a", "b", "c", "d"]
+    make = lambda n: [("hot", *(rnd.choice("uvwxyz") for _ in fields)) for _ in range(n)]
+    left, right = make(300), make(260)
+    frames = [spark.createDataFrame(rows, "k string, " + ", ".join(f"{f} string" for f in fields)) for rows in (left, right)]
+    few, many = (diff_copies(*frames, ["k"], fields, pair_work=w).collect() for w in (10**9, 1))
+    assert sorted(few, key=repr) == sorted(many, key=repr)
+    cl, cr = Counter(r[1:] for r in left), Counter(r[1:] for r in right)
+    assert sum(r["n"] * len(r["differing"]) for r in many) == textbook(list((cl - cr).elements()), list((cr - cl).elements()))
+
+
+def test_not_a_number_is_no_null(spark):
+    left, right = ([("k", float("nan"), "1"), ("k", None, "2")], [("k", None, "3"), ("k", float("nan"), "4")])
+    got = diff_copies(*(spark.createDataFrame(x, "k string, a double, b string") for x in (left, right)), ["k"], ["a", "b"]).collect()
+    assert sorted((r["left"]["b"], r["right"]["b"], *r["differing"]) for r in got) == [("1", "4", "b"), ("2", "3", "b")]
